@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leaks, lines, neardup, pairs, split
+from . import cuts, leaks, lines, mix, neardup, pairs, scans, split
 
 #: Fixed by the statement of problem 1.
 P1 = neardup.NearConfig(width=2, similarity=0.6, min_words=20)
@@ -53,6 +53,18 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return lines.without_repeats(kept, _repeats(spark, folder))
 
 
+def _scans(spark: SparkSession, folder: str) -> scans.Scans:
+    return scans.scan_damage(table(spark, folder, "blocks"), table(spark, folder, "source_documents"), table(spark, folder, "page_inspections"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scans(spark, folder).damage
+
+
+def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.paragraphs(_scans(spark, folder), table(spark, folder, "blocks"))
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.co_occurrence(table(spark, folder, "graph_evidence"), table(spark, folder, "vocabulary"))
 
@@ -81,8 +93,34 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(_leaks(spark, folder))
 
 
+def _mixture(spark: SparkSession, folder: str) -> mix.Mixture:
+    # longer records are somewhat likelier in the sampled remainder
+    weight = F.log2(F.col("n_tokens") + 2)
+    return mix.mix(table(spark, folder, "documents"), table(spark, folder, "source_mix"), weight=weight)
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).chosen
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).shares
+
+
+def _cuts(spark: SparkSession, folder: str) -> DataFrame:
+    return cuts.cut_documents(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cuts(spark, folder).where("is_cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return cuts.cut_rates(_cuts(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_clean, p5_found, p5_pairs, p5_edges, p6_found, p6_items)
+    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_paragraphs, p5_found, p5_pairs, p5_edges, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_sources)
 }
 
 _FORM = r"trim(regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g'), '\p{N}+', '#', 'g'))"
