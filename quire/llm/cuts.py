@@ -75,14 +75,13 @@ def _ends_early(short: str, long: str) -> bool:
 
 def early_ends(documents: DataFrame, config: CutConfig = CutConfig()) -> DataFrame:
     """(doc_id) of the texts that end early beside a near copy; documents: doc_id, text, one row a doc_id."""
-    sets = documents.select("doc_id", shingle_set(words(F.col("text")), config.width).alias("grams")).where(F.size("grams") > 0)
-    base = sets.select(F.col("doc_id").alias("tid"), "grams")
+    base = documents.select(F.col("doc_id").alias("tid"), shingle_set(words(F.col("text")), config.width).alias("grams"))
     banded = base.mapInArrow(banding(config.bands), BANDED).select("tid", F.explode("keys").alias("key"))
     a, b = banded.alias("a"), banded.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tid") < F.col("b.tid"))).select(F.col("a.tid").alias("x"), F.col("b.tid").alias("y")).distinct()
     left, right = base.select(F.col("tid").alias("x"), F.col("grams").alias("gx")), base.select(F.col("tid").alias("y"), F.col("grams").alias("gy"))
     shared, least = F.size(F.array_intersect("gx", "gy")), F.least(F.size("gx"), F.size("gy"))
-    near = write_table(pairs.join(left, "x").join(right, "y").where(shared >= config.similarity * least).select("x", "y"), "copies")
+    near = write_table(pairs.join(left, "x").join(right, "y").where((least > 0) & (shared >= config.similarity * least)).select("x", "y"), "copies")
     text = documents.select("doc_id", "text")
     both = near.join(text.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(text.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
 
@@ -109,12 +108,14 @@ def line_form(line: Column, units: int) -> Column:
 
 def closing_forms(documents: DataFrame, config: CutConfig = CutConfig()) -> DataFrame:
     """(form, n_begin, n_end) of the forms by which lines begin, and how many of those lines end there."""
-    form = F.col("form")
-    n = F.size(form)
-    lines = documents.select(F.explode(F.split("text", "\n")).alias("line")).select(line_form(F.col("line"), config.form_units).alias("form")).where(n > 0)
-    begins = lines.select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(config.form_units))), lambda k: F.struct(F.array_join(F.slice(form, 1, k), " ").alias("form"), (k == n).cast("long").alias("end")))).alias("x")
+    units = F.lit(config.form_units)
+    # the form is bound once and its beginnings are taken from it
+    begin = lambda form: F.transform(
+        F.filter(F.sequence(F.lit(1), units), lambda k: k <= F.size(form)),
+        lambda k: F.struct(F.array_join(F.slice(form, 1, k), " ").alias("form"), (k == F.size(form)).cast("long").alias("end")),
     )
+    lines = documents.select(F.explode(F.split("text", "\n")).alias("line"))
+    begins = lines.select(F.explode(F.flatten(F.transform(F.array(line_form(F.col("line"), config.form_units)), begin))).alias("x"))
     return begins.groupBy("x.form").agg(F.count(F.lit(1)).alias("n_begin"), F.sum("x.end").alias("n_end"))
 
 

@@ -202,7 +202,7 @@ def leaked(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConf
                 [id_col, "question_id", "answer_share", "question_share"],
             )
 
-    queries = documents.select(id_col, word_hashes(F.col("text")).alias("w")).where(F.size("w") >= config.run)
+    queries = documents.select(id_col, word_hashes(F.col("text")).alias("w"))
     schema = f"`{id_col}` {kind}, question_id string, answer_share double, question_share double"
     found = queries.mapInArrow(search, schema)
     return found.groupBy(id_col, "question_id").agg(F.max("answer_share").alias("answer_share"), F.max("question_share").alias("question_share"))

@@ -118,8 +118,17 @@ def banding(config: BandConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 BANDED = "tid long, sketch long, keys array<long>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingle_set(words: Column, width: int) -> Column:
     """Distinct 32-bit hashes of the runs of `width` adjacent words; fewer words give an empty set."""
-    last = F.size(words) - (width - 1)
-    run = lambda x, i: F.hash(x, *[F.element_at(words, i + k + 1) for k in range(1, width)])
-    return F.when(last > 0, F.array_distinct(F.transform(F.slice(words, 1, F.greatest(last, F.lit(1))), run))).otherwise(F.array().cast("array<int>"))
+
+    def sets(w: Column) -> Column:
+        last = F.size(w) - (width - 1)
+        run = lambda x, i: F.hash(x, *[F.element_at(w, i + k + 1) for k in range(1, width)])
+        return F.when(last > 0, F.array_distinct(F.transform(F.slice(w, 1, F.greatest(last, F.lit(1))), run))).otherwise(F.array().cast("array<int>"))
+
+    return bound(words, sets)
