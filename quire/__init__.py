@@ -1,3 +1,10 @@
 """quire: document-retrieval analytics as DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions that run in Python workers travel with their tasks, so executors need no installation
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
