@@ -37,7 +37,7 @@ class CutConfig:
     similarity: float = 0.8
     bands: BandConfig = BandConfig(rows=3, bands=40)
     form_units: int = 14
-    closing: float = 0.3
+    closing: float = 0.1
     min_forms: int = 3
     abbreviation: float = 0.02
     min_stops: int = 20

@@ -35,6 +35,7 @@ _DIVIDED = re.compile(rf"([^\W_+]|\+)([{MARKS}])[ \t]*$")
 _TOKEN = re.compile(r"(?:[^\W_]|\+)+")
 _LAST = re.compile(rf"((?:[^\W_]|[+'’])+(?:-(?:[^\W_]|\+)+)*)[{MARKS}][ \t]*$")
 _FIRST = re.compile(r"^\s*((?:[^\W_]|[+'’])+)")
+_DIGITS = re.compile(r"\d+")
 _NUMERIC = re.compile(r"^\d+[a-z]?$")
 
 HEADER, FOLIO, BODY, BREAK = range(4)
@@ -82,17 +83,21 @@ def document_heads(blocks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def known_words(blocks: DataFrame, config: ScanConfig) -> DataFrame:
-    """(word, n, form) of the lower-case words of text that wasn't scanned, and of the parts of hyphenated ones."""
+    """(word, n, n_lower, form) of the words of text that wasn't scanned, lower-cased, and of the parts of hyphenated ones.
+
+    n counts all uses, n_lower those written in lower case; names are known words that nothing is a misreading of.
+    """
     joined = F.regexp_replace(F.col("text"), rf"(?<=\p{{L}})[{MARKS}][ \t]*\n(?=\p{{L}})", "")
-    whole = (
+    written = (
         blocks.where(F.col("extraction_method") != "OCR")
         .select(F.explode(F.regexp_extract_all(joined, F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"), F.lit(0))).alias("word"))
-        .where((F.col("word") == F.lower("word")) & F.col("word").rlike(r"^[\p{L}-]+$"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("word").rlike(r"^[\p{L}-]+$"))
+        .select(F.lower("word").alias("word"), "n", F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0).alias("n_lower"))
     )
-    parts = whole.where(F.contains("word", F.lit("-"))).select(F.explode(F.split("word", "-")).alias("word"), "n")
+    parts = written.where(F.contains("word", F.lit("-"))).select(F.explode(F.split("word", "-")).alias("word"), "n", "n_lower")
     return (
-        whole.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n"))
+        written.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_lower").alias("n_lower"))
         .where(F.col("n") >= config.min_count)
         .withColumn("form", strokes(F.col("word")))
     )
@@ -171,6 +176,14 @@ class LineModel:
         return out
 
 
+def _is_page(line: str, lines: list[str], page: int | None) -> bool:
+    """Whether a line in the form of a folio is a page number: Roman, or the number of the page, or alone in its block."""
+    if len(line) > 16 or not _FOLIO.match(line):
+        return False
+    number = _DIGITS.search(line)
+    return number is None or page is None or int(number[0]) == page or len(lines) == 1
+
+
 def divisions(lines: list[str], labels: list[int]) -> list[tuple[int, int, str, str, str]]:
     """(line, line that goes on, mark, left part, right part) of each word divided at a line's end.
 
@@ -230,12 +243,12 @@ def _facts(model: LineModel, frequent: frozenset[str]):
         for batch in batches:
             out: list[tuple] = []
             rows, texts, labels = _labelled(batch, model)
-            for (doc, block, kind, _, _, known), lines, label in zip(rows, texts, labels):
+            for (doc, block, kind, _, _, known, page), lines, label in zip(rows, texts, labels):
                 known = set(known or ())
                 head = {i for i, x in enumerate(label) if x == HEADER and i + 1 in known}
                 if head and kind not in ("TITLE", "HEADING"):
                     out.append((doc, block, "header", None, None))
-                if any(x == FOLIO and len(lines[i]) <= 16 and _FOLIO.match(lines[i]) for i, x in enumerate(label)):
+                if any(x == FOLIO and _is_page(lines[i], lines, page) for i, x in enumerate(label)):
                     out.append((doc, block, "folio", None, None))
                 for _, _, mark, left, right in divisions(lines, label):
                     if mark == "-":
@@ -284,7 +297,7 @@ def scan_damage(blocks: DataFrame, documents: DataFrame, pages: DataFrame | None
         height = text.join(one, ["document_id", "page_number"], "left")
     top = F.coalesce("height", F.lit(842.0))
     edge = F.coalesce((F.col("bbox.y1") <= 0.08 * top) | (F.col("bbox.y0") >= 0.93 * top), F.lit(False)).cast("int")
-    scanned = height.select("document_id", "block_id", F.coalesce("block_type", F.lit("UNKNOWN")).alias("kind"), "text", edge.alias("edge"))
+    scanned = height.select("document_id", "block_id", F.coalesce("block_type", F.lit("UNKNOWN")).alias("kind"), "text", edge.alias("edge"), F.col("page_number").alias("page"))
 
     # lines that are a title or heading of their document, by strokes; only lines that don't end as a sentence can be
     form = F.col("form")
@@ -300,7 +313,7 @@ def scan_damage(blocks: DataFrame, documents: DataFrame, pages: DataFrame | None
         .groupBy("document_id", "block_id").agg(F.collect_set("line_no").alias("known")),
         "heads",
     )
-    marked = scanned.join(known, ["document_id", "block_id"], "left")
+    marked = scanned.join(known, ["document_id", "block_id"], "left").select("document_id", "block_id", "kind", "text", "edge", "known", "page")
 
     # fitted on a bounded sample, chosen by hash
     chosen = scanned.orderBy(F.xxhash64("document_id", "block_id"), "text").limit(config.sample)
@@ -314,16 +327,18 @@ def scan_damage(blocks: DataFrame, documents: DataFrame, pages: DataFrame | None
     # an unknown word with the strokes of a known one is misread
     words = facts.where(F.col("damage") == "word?").select("document_id", "block_id", "word", "form")
     unknown = words.select("word", "form").distinct().join(lexicon, "word", "left_anti")
-    meant = lexicon.where(~F.contains("word", F.lit("-"))).groupBy("form").agg(F.max_by("word", F.struct("n", "word")).alias("good"))
+    meant = lexicon.where(~F.contains("word", F.lit("-")) & (F.col("n_lower") >= config.min_count)).groupBy("form").agg(F.max_by("word", F.struct("n", "word")).alias("good"))
     misread = unknown.join(meant, "form").select("word", "good")
     fixes = words.join(misread, "word").select("document_id", "block_id", F.col("word").alias("bad"), "good")
 
     # a hyphen belongs to the word if its compound is used more often than the word without it
-    divided = facts.where(F.col("damage") == "hyphen?").select("document_id", "block_id", F.col("word").alias("joined"), F.col("form").alias("compound"))
-    uses = lexicon.select("word", "n")
+    divided = facts.where(F.col("damage") == "hyphen?").select(
+        "document_id", "block_id", F.col("form").alias("compound"), strokes(F.col("word")).alias("joined"), strokes(F.col("form")).alias("spelled")
+    )
+    uses = lexicon.groupBy("form").agg(F.sum("n").alias("n"))
     judged = (
-        divided.join(uses.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
-        .join(uses.select(F.col("word").alias("compound"), F.col("n").alias("n_compound")), "compound", "left")
+        divided.join(uses.select(F.col("form").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
+        .join(uses.select(F.col("form").alias("spelled"), F.col("n").alias("n_compound")), "spelled", "left")
         .withColumn("own", F.coalesce("n_compound", F.lit(0)) > F.coalesce("n_joined", F.lit(0)))
     )
     damage = (
@@ -346,8 +361,8 @@ def _cased(good: str, bad: str) -> str:
 def _repair(model: LineModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts, labels = _labelled(pa.RecordBatch.from_arrays(batch.columns[:6], names=list("abcdef")), model)
-            bad, good, keep = (batch.column(k).to_pylist() for k in (6, 7, 8))
+            rows, texts, labels = _labelled(pa.RecordBatch.from_arrays(batch.columns[:7], names=list("abcdefg")), model)
+            bad, good, keep = (batch.column(k).to_pylist() for k in (7, 8, 9))
             out = []
             for r, lines, label, b, g, k in zip(rows, texts, labels, bad, good, keep):
                 fix = dict(zip(b or (), g or ()))
@@ -369,7 +384,7 @@ def repaired_blocks(scans: Scans) -> DataFrame:
     keep = scans.compounds.groupBy("document_id", "block_id").agg(F.collect_set("compound").alias("keep"))
     ready = (
         scans.blocks.join(fix, ["document_id", "block_id"], "left").join(keep, ["document_id", "block_id"], "left")
-        .select("document_id", "block_id", "kind", "text", "edge", "known", F.col("fix.bad").alias("bad"), F.col("fix.good").alias("good"), "keep")
+        .select("document_id", "block_id", "kind", "text", "edge", "known", "page", F.col("fix.bad").alias("bad"), F.col("fix.good").alias("good"), "keep")
     )
     return ready.mapInArrow(_repair(scans.model), "document_id string, block_id string, text string").dropDuplicates(["document_id", "block_id"])
 
