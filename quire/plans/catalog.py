@@ -362,7 +362,7 @@ def drop_furniture(s, d):
 @query
 def page_inspection(s, d):
     pages = table(s, d, "page_inspections").select("document_id", "page_number", "classification").groupBy("document_id", "page_number").agg(F.max("classification").alias("classification"))
-    mean = _blocks(s, d).groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("n_blocks"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    mean = _blocks(s, d).groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("n_blocks"), F.round(F.avg("confidence"), 9).alias("mean_confidence"))
     return pages.join(mean, ["document_id", "page_number"], "left").select("document_id", "page_number", "classification", F.coalesce("n_blocks", F.lit(0).cast("long")).alias("n_blocks"), "mean_confidence")
 
 
