@@ -138,7 +138,7 @@ def cut_documents(documents: DataFrame, config: CutConfig = CutConfig()) -> Data
     one = documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("text", "source")).alias("x")).select("doc_id", "x.*")
     base = write_table(one.withColumn("text", F.coalesce("text", F.lit(""))), "texts")
     last = F.element_at(F.split(F.rtrim(F.regexp_replace("text", r"\s+$", "")), "\n"), -1)
-    close = base.select("doc_id", "source", (F.trim("text") == "").alias("blank"), F.col("text").rlike(STOP).alias("stop"), last.alias("last"))
+    close = base.select("doc_id", "source", F.col("text").rlike(r"^\s*$").alias("blank"), F.col("text").rlike(STOP).alias("stop"), last.alias("last"))
     close = close.select(
         "doc_id", "source", "blank", "stop",
         F.regexp_extract("last", r"([\p{L}]+)\.[\"'”’»)\]]*\s*$", 1).alias("word"),

@@ -123,12 +123,16 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def shingle_set(words: Column, width: int) -> Column:
-    """Distinct 32-bit hashes of the runs of `width` adjacent words; fewer words give an empty set."""
+def shingle_set(words: Column, width: int, kind: Column | None = None) -> Column:
+    """Distinct 32-bit hashes of the runs of `width` adjacent words; fewer words give an empty set.
+
+    With `kind`, sets of different kinds share no hashes and never meet in a band.
+    """
+    salt = [] if kind is None else [kind]
 
     def sets(w: Column) -> Column:
         last = F.size(w) - (width - 1)
-        run = lambda x, i: F.hash(x, *[F.element_at(w, i + k + 1) for k in range(1, width)])
+        run = lambda x, i: F.hash(x, *[F.element_at(w, i + k + 1) for k in range(1, width)], *salt)
         return F.when(last > 0, F.array_distinct(F.transform(F.slice(w, 1, F.greatest(last, F.lit(1))), run))).otherwise(F.array().cast("array<int>"))
 
     return bound(words, sets)

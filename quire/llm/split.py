@@ -20,6 +20,8 @@ from ..functions.text import count_tokens
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _STOP = re.compile(r"[.!?…]")
 _CLOSER = set("\"'”’»)]")
+#: Fixed: words whose full stop ends no sentence; single capitals count as initials.
+_ABBREVIATIONS = {"dr", "mr", "mrs", "ms", "st", "prof", "no", "vol", "fig", "cf", "pp", "p", "ed", "eds", "vs", "etc"}
 #: Preference among valleys of equal depth, and the name given in the column `cut`.
 _KINDS = {3: "paragraph", 2: "line", 1: "sentence", 0: "token"}
 
@@ -55,7 +57,10 @@ def _gap_kind(text: str, spans: list[tuple[int, int]], i: int) -> int:
         k -= 1
     if not _STOP.match(text[spans[k][0]]):
         return 0
-    # an abbreviation or an initial goes on in lower case or digits
+    word = text[spans[k - 1][0] : spans[k - 1][1]] if k and text[spans[k][0]] == "." and spans[k - 1][1] == spans[k][0] else ""
+    if word.lower() in _ABBREVIATIONS or (len(word) == 1 and word.isupper()):
+        return 0
+    # other abbreviations go on in lower case or digits
     return 0 if text[start].islower() or text[start].isdigit() else 1
 
 
