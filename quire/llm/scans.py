@@ -23,13 +23,15 @@ from ..plans.lineage import write_table
 
 #: Fixed: marks that divide a word at a line's end.
 MARKS = "-‐‑¬­"
+#: Fixed: the form of a Roman numeral below 400.
+ROMAN = r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 #: Fixed: characters that scanners confuse, spelled in the strokes they are made of.
 STROKES = {
     "à": "a", "5": "s", "+": "t", "0": "o", "ſ": "f", "6": "b", "q": "g", "c": "e",
     "l": "i", "1": "i", "ı": "i", "r": "i", "n": "ii", "h": "ii", "u": "ii", "m": "iii", "d": "ei", "w": "vv",
 }
-_FOLIO = re.compile(r"^\W*(?:p(?:age|\.)?\s*)?(?:\d{1,5}|[ivxlcdm]{1,8})\W*$", re.IGNORECASE)
-_EDGE_NUMBER = re.compile(r"^\W*(?:\d{1,5}|[ivxlcdm]{1,8})\W+\w|\w\W+(?:\d{1,5}|[ivxlcdm]{1,8})\W*$", re.IGNORECASE)
+_FOLIO = re.compile(rf"^\W*(?:p(?:age|\.)?\s*)?(?:\d{{1,5}}|{ROMAN})\W*$", re.IGNORECASE)
+_EDGE_NUMBER = re.compile(rf"^\W{{0,8}}(?:\d{{1,5}}|{ROMAN})\W+\w|\w\W{{1,8}}(?:\d{{1,5}}|{ROMAN})\W{{0,8}}$", re.IGNORECASE)
 _END = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*$")
 _DIVIDED = re.compile(rf"([^\W_+]|\+)([{MARKS}])[ \t]*$")
 _TOKEN = re.compile(r"(?:[^\W_]|\+)+")
@@ -70,7 +72,8 @@ _STROKE_TABLE = str.maketrans(STROKES)
 
 def head_form(line: Column) -> Column:
     """Strokes of the letters and digits of a line, single blanks between, without a page number at either end."""
-    numbered = r"^[^\p{L}\p{N}]*(?:\p{Nd}{1,5}|[ivxlcdm]{1,8})(?=[^\p{L}\p{N}+])|(?<=[^\p{L}\p{N}+])(?:\p{Nd}{1,5}|[ivxlcdm]{1,8})[^\p{L}\p{N}]*$"
+    numeral = rf"(?:\p{{Nd}}{{1,5}}|{ROMAN})"
+    numbered = rf"^[^\p{{L}}\p{{N}}]*{numeral}(?=[^\p{{L}}\p{{N}}+])|(?<=[^\p{{L}}\p{{N}}+]){numeral}[^\p{{L}}\p{{N}}]*$"
     bare = F.regexp_replace(F.lower(line), numbered, "")
     return strokes(F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}+]+", " ")))
 
@@ -104,7 +107,12 @@ def known_words(blocks: DataFrame, config: ScanConfig) -> DataFrame:
 
 
 def observe(lines: list[str], kind: str, edge: int, known: set[int]) -> list[tuple[int, ...]]:
-    """The features of each line: position, shape, ending, known head, length, kind of block, edge of the page."""
+    """The features of each line: position, shape, ending, known head, length, kind of block, edge of the page.
+
+    A TITLE or HEADING block is the heading itself, so its lines are never known heads.
+    """
+    if kind in ("TITLE", "HEADING"):
+        known = set()
     n, longest = len(lines), max(len(x) for x in lines) or 1
     group = 0 if kind in ("HEADER", "FOOTER", "PAGE_NUMBER") else 1 if kind in ("TITLE", "HEADING") else 2
     rows = []
@@ -125,14 +133,14 @@ class LineModel:
 
     @classmethod
     def fit(cls, sequences: list[list[tuple[int, ...]]]) -> LineModel:
-        """Counts with one added, over sequences labelled by what is certain of a line."""
+        """Smoothed counts over sequences labelled by what is certain of a line; hardly any smoothing for known heads, which are certain."""
         start, move = np.ones(4), np.ones((4, 4))
-        emit = [np.ones((4, size)) for size in _SIZES]
+        emit = [np.full((4, size), 1e-3 if k == 3 else 1.0) for k, size in enumerate(_SIZES)]
         for rows in sequences:
             before = None
             for row in rows:
-                position, shape, ending, known, length, group, _ = row
-                if known and group != 1:
+                position, shape, ending, known, length, _, _ = row
+                if known:
                     label = HEADER
                 elif shape == 0:
                     label = FOLIO
