@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import overlap_coefficient
 from ..functions.text import lex_tokens
 from ..plans.bounded import bounded_rows
+from ..plans.lineage import write_table
 
 #: Fixed constants of Okapi scoring.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -65,8 +66,12 @@ def top_k(scores: DataFrame, k: int, score: str = "score", digits: int = 6) -> D
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) with positive scores only; blank queries have no hits."""
-    return top_k(bm25_scores(queries, lengths(chunks)).where(F.round("score", 6) > 0), k)
+    """(query_id, id, score, rank) with positive scores only; blank queries have no hits.
+
+    The tokens are written once; document frequencies, lengths and postings are read from there.
+    """
+    tokenised = write_table(lengths(chunks), "tokens")
+    return top_k(bm25_scores(queries, tokenised).where(F.round("score", 6) > 0), k)
 
 
 def dense_topk(queries: DataFrame, items: DataFrame, k: int, max_queries: int = 100_000, block: int = 1024) -> DataFrame:
