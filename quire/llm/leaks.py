@@ -23,6 +23,10 @@ from ..functions.text import words
 from ..plans.bounded import bounded_rows
 
 
+#: Passages scored at once; keeps the working arrays small.
+SLICE = 2048
+
+
 @dataclass(frozen=True)
 class LeakConfig:
     """run: consecutive words that make a leak. passage: words of a query; passages overlap by run - 1 words.
@@ -34,7 +38,7 @@ class LeakConfig:
     passage: int = 64
     k1: float = 1.2
     b: float = 0.75
-    block: int = 4
+    block: int = 8
     shard: int = 512
     max_items: int = 50_000
 
@@ -57,17 +61,20 @@ class Index:
         norm = config.k1 * (1 - config.b + config.b * length / length.mean()) if n else length
         weight = idf[:, None] * frequency * (config.k1 + 1) / (frequency + norm)
         for i, at in enumerate(ids):
-            least = min(weight[np.unique(at[k : k + config.run]), i].sum() for k in range(len(at) - config.run + 1))
+            windows = np.sort(np.lib.stride_tricks.sliding_window_view(at, config.run), axis=1)
+            once = np.diff(windows, axis=1, prepend=-1) > 0  # each term of a window counts once
+            least = (weight[windows, i] * once).sum(axis=1).min()
             weight[:, i] /= least * (1 - 1e-4)  # single precision must not lose an exact hit
         blocks = -(-n // config.block)
         padded = np.zeros((v + 1, blocks * config.block), np.float32)  # the last row stands for words of no item
         padded[:v, :n] = weight
         self.weight = padded.reshape(v + 1, blocks, config.block)
         self.block_max = np.ascontiguousarray(self.weight.max(axis=2))
-        runs = [(number, k, hash_runs(w, config.run)[k]) for number, w in self.items for k in range(len(w) - config.run + 1)]
-        order = sorted(runs, key=lambda r: r[2])
-        self.run_hash = np.array([r[2] for r in order], np.uint64)
-        self.run_item = np.array([r[0] for r in order], np.int64)
+        runs = [np.unique(hash_runs(w, config.run)) for _, w in self.items]
+        hashes = np.concatenate(runs or [np.empty(0, np.uint64)])
+        order = np.argsort(hashes, kind="stable")
+        self.run_hash = hashes[order]
+        self.run_item = np.repeat(np.array([number for number, _ in self.items], np.int64), [len(r) for r in runs])[order]
         self.number = np.full(blocks * config.block, -1, np.int64)
         self.number[:n] = [number for number, _ in self.items]
 
@@ -79,9 +86,8 @@ class Index:
         v = len(self.terms)
         at = np.minimum(np.searchsorted(self.terms, flat), v - 1)
         at[self.terms[at] != flat] = v
-        size = end - begin
-        passage = np.repeat(np.arange(len(begin)), size)
-        position = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        passage = np.repeat(np.arange(len(begin)), end - begin)
+        position, _ = _ragged(begin, end)
         code = passage * (v + 1) + at[position]
         code = np.unique(code[at[position] < v])
         if not len(code):
@@ -94,9 +100,8 @@ class Index:
         stops = np.append(starts[1:], len(term))
         for one in np.unique(block):
             rows = hit[block == one]
-            spans = [np.arange(starts[r], stops[r]) for r in rows]
-            sizes = np.array([len(s) for s in spans])
-            scores = np.add.reduceat(self.weight[term[np.concatenate(spans)], one], np.cumsum(sizes) - sizes, axis=0)
+            at, first = _ragged(starts[rows], stops[rows])
+            scores = np.add.reduceat(self.weight[term[at], one], first, axis=0)
             r, i = np.nonzero(scores >= 1)
             found_passage.append(passage[starts[rows[r]]])
             found_item.append(self.number[one * self.config.block + i])
@@ -105,6 +110,13 @@ class Index:
         return np.concatenate(found_passage), np.concatenate(found_item)
 
 
+def _ragged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of all ranges one after another, and where each range starts among them."""
+    size = end - begin
+    first = np.cumsum(size) - size
+    return np.arange(size.sum()) - np.repeat(first - begin, size), first
+
+
 def hash_runs(w: np.ndarray, run: int) -> np.ndarray:
     """A 64-bit hash of each run of `run` adjacent word hashes."""
     n = len(w) - run + 1
@@ -129,18 +141,23 @@ def _passages(offsets: np.ndarray, config: LeakConfig) -> tuple[np.ndarray, np.n
     return row, begin, np.minimum(begin + config.passage, offsets[1:][row])
 
 
-def _verified(index: Index, flat: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, passage: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, item number, hash of the shared run) of the retrieved pairs that share a run of words."""
-    run, out = index.config.run, []
-    for p in np.unique(passage):
-        wanted = set(item[passage == p].tolist())
-        own = np.unique(hash_runs(flat[begin[p] : end[p]], run))
-        low, high = np.searchsorted(index.run_hash, own, "left"), np.searchsorted(index.run_hash, own, "right")
-        for a, b, h in zip(low, high, own):
-            for number in index.run_item[a:b]:
-                if int(number) in wanted:
-                    out.append((int(row[p]), int(number), int(h)))
-    return out
+def _verified(index: Index, flat: np.ndarray, offsets: np.ndarray, row: np.ndarray, passage: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, item number, hash of the shared run) of the retrieved pairs whose passage holds a run of the item."""
+    config = index.config
+    own = hash_runs(flat, config.run)
+    low, high = np.searchsorted(index.run_hash, own, "left"), np.searchsorted(index.run_hash, own, "right")
+    at = np.flatnonzero(high > low)
+    # the row of each place, and the passage of that row that holds the run from there
+    home = np.searchsorted(offsets, at, "right") - 1
+    at, home = (x[at + config.run <= offsets[home + 1]] for x in (at, home))
+    first = np.searchsorted(row, home)
+    of = first + (at - offsets[home]) // (config.passage - config.run + 1)
+    which, _ = _ragged(low[at], high[at])
+    times = high[at] - low[at]
+    number = index.run_item[which]
+    width = int(index.run_item.max()) + 1 if len(index.run_item) else 1
+    known = np.isin(np.repeat(of, times) * width + number, passage * width + item)
+    return list(zip(np.repeat(home, times)[known].tolist(), number[known].tolist(), np.repeat(own[at], times)[known].tolist()))
 
 
 def word_hashes(text: Column) -> Column:
@@ -178,12 +195,15 @@ def leaked(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConf
             column = batch.column(1)
             offsets = column.offsets.to_numpy().astype(np.int64)
             flat = column.values.to_numpy()
+            flat = flat[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
             row, begin, end = _passages(offsets, config)
-            base = offsets[0]
             hits: list[tuple[int, int, int]] = []
             for index in shards:
-                passage, item = index.retrieve(flat[base : offsets[-1]], begin - base, end - base)
-                hits += _verified(index, flat, row, begin, end, passage, item)
+                found = [index.retrieve(flat, begin[k : k + SLICE], end[k : k + SLICE]) for k in range(0, len(begin), SLICE)]
+                passage = np.concatenate([p + k * SLICE for k, (p, _) in enumerate(found)] or [np.empty(0, np.int64)])
+                item = np.concatenate([i for _, i in found] or [np.empty(0, np.int64)])
+                hits += _verified(index, flat, offsets, row, passage, item)
             runs: dict[tuple[int, int], set[int]] = {}
             for r, i, h in hits:
                 runs.setdefault((r, i), set()).add(h)
