@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import chunking, corpus, evaluation, evidence, graph, retrieval, structure
+from ..operators import answering, chunking, corpus, evaluation, evidence, graph, retrieval, structure
 from ..sources.tables import table
 from .lineage import write_table
 
@@ -527,3 +527,100 @@ def validate_graph(s, d):
 def pair_aggregate(s, d):
     spans = _evidence(s, d).groupBy("chunk_id", "evidence_text").agg(F.count(F.lit(1)).alias("n_rows"), F.bool_or(F.col("relation_source") == "sentence").alias("in_sentence"), F.bool_or(F.size("heading_path") > 0).alias("under_heading"))
     return spans.groupBy("n_rows", "in_sentence", "under_heading").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("n_chunks"))
+
+
+# answers
+
+
+@query
+def ask(s, d):
+    packs = write_table(_packs(s, d), "packs")
+    sources = _chunks(s, d).join(_documents(s, d).select("document_id", "title"), "document_id", "left")
+    rendered = evidence.render_packs(packs, sources.select(F.col("chunk_id").alias("id"), "title", evidence.pages_display(F.col("page_numbers")).alias("pages")))
+    answered = write_table(answering.answers(answering.prompts(_questions(s, d), rendered)), "answers")
+    warned = answering.citation_warnings(answered, packs)
+    cited = evidence.checked_citations(answered, packs).groupBy("query_id").agg(F.count_if(F.col("status") == "valid").alias("n_valid"))
+    return answered.join(cited, "query_id", "left").join(warned, "query_id", "left").select("query_id", "answer", F.coalesce("n_valid", F.lit(0).cast("long")).alias("n_valid"), "warning")
+
+
+@query
+def evidence_cover(s, d):
+    return answering.coverage(_packs(s, d), _labels(s, d))
+
+
+# lookups, filters and sets
+
+
+@query
+def vector_get_by_ids(s, d):
+    asked = s.createDataFrame([([40, 20, 100_000, 0],)], "ids array<long>").select(F.posexplode("ids").alias("pos", "id"))
+    return asked.join(_vectors(s, d), "id", "left").select("pos", "id", "label")
+
+
+@query
+def vector_count(s, d):
+    return _vectors(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("dimension"))
+
+
+@query
+def upsert_vectors(s, d):
+    stored = _vectors(s, d).where(F.col("id") < 300).select("id", "label")
+    incoming = _vectors(s, d).where(F.col("id") >= 200).select("id", (F.col("label") + 100).alias("label"))
+    return corpus.upsert(stored, incoming, "id")
+
+
+@query
+def stale_vector_anti(s, d):
+    first = _chunks(s, d).where(F.col("chunk_index") == 0).select("chunk_id")
+    return _evidence(s, d).select("chunk_id").distinct().join(first, "chunk_id", "left_anti")
+
+
+@query
+def json_or_default(s, d):
+    parsed = F.from_json("props", "map<string,string>")
+    return table(s, d, "events").select("event_id", F.coalesce(F.size(parsed), F.lit(0)).alias("n_props"))
+
+
+@query
+def distinct_types(s, d):
+    nodes = table(s, d, "vocabulary").select(F.lit("node").alias("kind"), F.col("node_type").alias("type"))
+    return nodes.unionByName(_edges(s, d).select(F.lit("edge").alias("kind"), F.col("relationship_type").alias("type"))).distinct()
+
+
+@query
+def library_sort(s, d):
+    status = F.coalesce(F.array_position(F.array(F.lit("INCLUDE"), F.lit("REVIEW"), F.lit("EXCLUDE")), F.col("index_status")), F.lit(0))
+    order = Window.partitionBy("section").orderBy(F.when(status == 0, 9).otherwise(status), "title", "document_id")
+    return _documents(s, d).withColumn("place", F.row_number().over(order)).select("section", "place", "document_id")
+
+
+@query
+def library_union(s, d):
+    known = _documents(s, d).select("document_id", F.lit("registered").alias("origin"))
+    seen = _chunks(s, d).select("document_id", F.lit("chunks").alias("origin")).distinct()
+    both = known.unionByName(seen.join(known, "document_id", "left_anti"))
+    return both.groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def corpus_lane(s, d):
+    first = F.lower(F.regexp_extract("source_path", r"^[^/\\]+[/\\]([^/\\]+)", 1))
+    lane = F.when(F.col("source_type").isin("PRIMARY", "SECONDARY"), F.col("source_type")).otherwise(F.coalesce(F.when(first != "", first), F.lit("unknown")))
+    return _documents(s, d).groupBy(lane.alias("lane")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def latest_blocks(s, d):
+    rows = table(s, d, "blocks").select("document_id", "block_id", "ingested_at", "page_number")
+    return corpus.latest(rows, ["document_id", "block_id"], "ingested_at").groupBy("page_number").agg(F.count(F.lit(1)).alias("n"), F.max("ingested_at").cast("string").alias("last"))
+
+
+@query
+def bench_tags(s, d):
+    return table(s, d, "bench_items").select("question_id", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count_distinct("question_id").alias("n"))
+
+
+@query
+def enrich_author_title(s, d):
+    hits = _bm25_leg(s, d, 3).join(_chunks(s, d).select(F.col("chunk_id").alias("id"), "document_id"), "id")
+    return hits.join(_documents(s, d).select("document_id", "title", "author"), "document_id", "left").select("query_id", "rank", "id", "title", "author")

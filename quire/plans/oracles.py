@@ -255,4 +255,20 @@ SQL: dict[str, str] = {
     "edge_filter": f"WITH {_ED} SELECT edge_id, relationship_type, confidence, round(0.5 + sqrt(evidence_count) / 2.2, 6) AS size FROM ed WHERE status = 'TRUSTED' AND evidence_count >= 2",
     "pair_aggregate": f"""WITH {_EV}, s AS (SELECT chunk_id, evidence_text, count(*) AS n_rows, bool_or(relation_source = 'sentence') AS in_sentence, bool_or(coalesce(len(heading_path), 0) > 0) AS under_heading FROM ev GROUP BY ALL)
         SELECT n_rows, in_sentence, under_heading, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks FROM s GROUP BY ALL""",
+    "vector_get_by_ids": """WITH a AS (SELECT unnest([40, 20, 100000, 0]) AS id, unnest(range(4)) AS pos)
+        SELECT CAST(pos AS INTEGER) AS pos, CAST(a.id AS BIGINT) AS id, label FROM a LEFT JOIN embeddings e ON e.vec_id = a.id""",
+    "vector_count": "SELECT label, count(*) AS n, min(len(embedding)) AS dimension FROM embeddings GROUP BY label",
+    "upsert_vectors": "SELECT vec_id AS id, CASE WHEN vec_id >= 200 THEN label + 100 ELSE label END AS label FROM embeddings",
+    "stale_vector_anti": f"WITH {_CH}, {_EV} SELECT DISTINCT chunk_id FROM ev ANTI JOIN (SELECT chunk_id FROM ch WHERE chunk_index = 0) USING (chunk_id)",
+    "json_or_default": "SELECT event_id, coalesce(len(json_keys(try_cast(props AS JSON))), 0) AS n_props FROM events",
+    "distinct_types": f"WITH {_ED} SELECT 'node' AS kind, node_type AS type FROM vocabulary UNION SELECT 'edge', relationship_type FROM ed",
+    "library_sort": f"""WITH {_DOC} SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY
+        CASE index_status WHEN 'INCLUDE' THEN 1 WHEN 'REVIEW' THEN 2 WHEN 'EXCLUDE' THEN 3 ELSE 9 END, title NULLS FIRST, document_id) AS INTEGER) AS place, document_id FROM doc""",
+    "library_union": f"""WITH {_CH}, {_DOC} SELECT origin, count(*) AS n FROM (SELECT document_id, 'registered' AS origin FROM doc
+        UNION ALL SELECT document_id, 'chunks' FROM (SELECT DISTINCT document_id FROM ch) ANTI JOIN doc USING (document_id)) GROUP BY origin""",
+    "corpus_lane": rf"""WITH {_DOC} SELECT CASE WHEN source_type IN ('PRIMARY', 'SECONDARY') THEN source_type
+        ELSE coalesce(nullif(lower(regexp_extract(source_path, '^[^/\\]+[/\\]([^/\\]+)', 1)), ''), 'unknown') END AS lane, count(*) AS n FROM doc GROUP BY 1""",
+    "bench_tags": "SELECT tag, count(DISTINCT question_id) AS n FROM (SELECT question_id, unnest(tags) AS tag FROM bench_items) GROUP BY tag",
+    "enrich_author_title": f"""WITH {_CH}, {_Q}, {_TERMS}, {_bm25('bm25', 'query', 3)}, {_DOC}
+        SELECT query_id, rank, id, title, author FROM bm25 JOIN ch ON ch.chunk_id = bm25.id LEFT JOIN doc USING (document_id)""",
 }
