@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread
 from .structure import ANCHORS, FURNITURE
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -133,4 +134,4 @@ def chunk_blocks(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> Data
         "chunk_id string, document_id string, chunk_index int, text string, source_block_ids array<string>, "
         "page_numbers array<int>, heading string, token_count int, start_page int, end_page int"
     )
-    return content.where(F.col("document_id").isNotNull()).groupBy("document_id").applyInPandas(run, schema)
+    return spread(content.where(F.col("document_id").isNotNull()), "document_id").groupBy("document_id").applyInPandas(run, schema)

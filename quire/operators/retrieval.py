@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import overlap_coefficient
 from ..functions.text import lex_tokens
 from ..plans.bounded import bounded_rows
-from ..plans.lineage import write_table
+from ..plans.lineage import spread, write_table
 
 #: Fixed constants of Okapi scoring.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -70,7 +70,7 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
     The tokens are written once; document frequencies, lengths and postings are read from there.
     """
-    tokenised = write_table(lengths(chunks), "tokens")
+    tokenised = write_table(spread(lengths(chunks), "id"), "tokens")
     return top_k(bm25_scores(queries, tokenised).where(F.round("score", 6) > 0), k)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import answering, chunking, corpus, evaluation, evidence, graph, retrieval, structure
 from ..sources.tables import table
-from .lineage import write_table
+from .lineage import spread, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,7 +182,7 @@ def _bm25_leg(s, d, k=30):
 
 def _dense_leg(s, d, k=30):
     asked = scoring.dense_vectors(scoring.hash_features(_questions(s, d), "query_id", "query")).withColumnRenamed("id", "query_id")
-    items = scoring.dense_vectors(scoring.hash_features(_chunk_text(s, d), "chunk_id", "text"))
+    items = scoring.dense_vectors(scoring.hash_features(spread(_chunk_text(s, d), "chunk_id"), "chunk_id", "text"))
     return retrieval.dense_topk(asked, items, k)
 
 

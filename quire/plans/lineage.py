@@ -37,6 +37,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many partitions as the cluster has cores or the session asks for, by key.
+
+    For work that costs far more than its input's bytes suggest, which adaptive execution would pack into few tasks.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def release() -> None:
     """Remove every table written so far; results that still read them become invalid."""
     while _written:
