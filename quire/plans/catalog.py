@@ -211,10 +211,10 @@ def retrieve_hybrid(s, d):
     return retrieval.fuse(*_legs(s, d), 20)
 
 
-def _reranked(s, d, legs=None):
+def _reranked(s, d, legs=None, k=10):
     pool = retrieval.fuse(*(legs or _legs(s, d)), 20)
     full = pool.join(_questions(s, d).select("query_id", "query"), "query_id").join(_chunks(s, d).withColumnRenamed("chunk_id", "id"), "id")
-    return retrieval.rerank(full, 10)
+    return retrieval.rerank(full, k)
 
 
 @query
@@ -230,8 +230,9 @@ def safe_pairs(s, d):
 
 
 def _packs(s, d):
-    titled = _reranked(s, d).join(_documents(s, d).select("document_id", "title"), "document_id", "left")
-    return evidence.evidence_packs(titled, evidence.PackConfig(max_tokens=900))
+    """Packs choose from the whole fused pool, all of it reranked."""
+    titled = _reranked(s, d, k=20).join(_documents(s, d).select("document_id", "title"), "document_id", "left")
+    return evidence.evidence_packs(titled)
 
 
 @query
