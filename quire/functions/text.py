@@ -1,9 +1,13 @@
-"""Text primitives as JVM-side column expressions."""
+"""Text primitives as column expressions, JVM-side but for the compatibility forms of non-ASCII text."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed patterns that define results.
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -17,9 +21,33 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: w != "")
 
 
+def _kernel(case):
+    """Arrow function of NFKC and then `case`; nulls stay null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else case(unicodedata.normalize("NFKC", t)) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, StringType())
+
+
+def _compatible(text: Column, case) -> Column:
+    """NFKC, then `case`. Only rows with non-ASCII characters reach Python; ASCII text is merely lower-cased."""
+    return F.coalesce(_kernel(case)(F.when(F.octet_length(text) > F.length(text), text)), F.lower(text))
+
+
+def lowered(text: Column) -> Column:
+    """NFKC and lower case."""
+    return _compatible(text, str.lower)
+
+
+def folded(text: Column) -> Column:
+    """NFKC and case folding."""
+    return _compatible(text, str.casefold)
+
+
 def lex_tokens(text: Column) -> Column:
-    """Lexical tokens: lower-cased runs of a-z and 0-9, joined over inner hyphens and apostrophes."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LEXICAL), F.lit(0))
+    """Lexical tokens: runs of a-z and 0-9 of the NFKC, lower-cased text, joined over inner hyphens and apostrophes."""
+    return F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(LEXICAL), F.lit(0))
 
 
 def tokens(text: Column) -> Column:

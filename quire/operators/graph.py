@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import one_line
+from ..functions.text import folded, one_line
 from ..plans.bounded import bounded_rows
 from ..plans.lineage import write_table
 
@@ -27,8 +27,8 @@ WEIGHTS = {"pattern": 0.6, "sentence": 0.5, "block": 0.3}
 
 
 def concept_form(name: Column) -> Column:
-    """Lower case, all but a-z, 0-9, hyphen and white space as a blank, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9\s-]", " "), r"\s+", " "))
+    """NFKC, case folded, all but a-z, 0-9, hyphen and white space as a blank, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(name), r"[^a-z0-9\s-]", " "), r"\s+", " "))
 
 
 def node_id(name: Column) -> Column:

@@ -79,3 +79,18 @@ def test_mentions_claim_longest_first(body):
                 taken[at:end] = [True] * len(alias)
                 want.append((at, name))
     assert found == list(dict.fromkeys(n for _, n in sorted(want)))
+
+
+def test_lexical_and_concept_forms_are_compatible(spark):
+    texts = ["The waſte ﬁre", "Ｅｇｏ №7", "Straße İx", "plain Ego-X", None]
+    lexical = [["the", "waste", "fire"], ["ego", "no7"], ["stra", "e", "i", "x"], ["plain", "ego-x"], []]
+    assert values(spark, texts, text.lex_tokens(F.col("text"))) == lexical
+    assert values(spark, texts, graph.concept_form(F.col("text"))) == ["the waste fire", "ego no7", "strasse i x", "plain ego-x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert sorted(r[0] for r in df.select(F.explode(text.lex_tokens(F.col("text")))).collect()) == sorted(sum(lexical, []))
+
+
+def test_mentions_in_old_letters(spark):
+    vocabulary = spark.createDataFrame([("self", "Self"), ("conflict", "Conflict")], "alias string, canonical string")
+    df = spark.createDataFrame([("the ſelf in conﬂict",)], "text string")
+    assert graph.mentions(df, "text", vocabulary).collect()[0].names == ["Self", "Conflict"]
