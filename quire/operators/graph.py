@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import folded, one_line
+from ..functions.text import SPACE, folded, one_line
 from ..plans.bounded import bounded_rows
 from ..plans.lineage import write_table
 
@@ -180,8 +180,17 @@ def both_ends(edge_rows: DataFrame) -> DataFrame:
 
 
 def graph_violations(edge_rows: DataFrame, evidence: DataFrame, vocabulary: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(id, problem): self_edge, bad_confidence, unknown_node, lost_evidence, trusted_without_evidence, duplicate_edge, lost_chunk."""
-    one = edge_rows.select("edge_id", "source_node_id", "target_node_id", "confidence", "evidence_ids", "status", "build_id", "relationship_type").distinct()
+    """(id, problem): what is wrong with edges and evidence; empty when all is well.
+
+    Problems of edges: self_edge, bad_confidence, unknown_node, lost_evidence, trusted_without_evidence (a count
+    of 0 or no ids), duplicate_edge (different rows of one id), unmerged_edge (several edges of one build join a
+    pair, either way round, by one type). Of evidence: lost_chunk, duplicate_evidence (repeated rows of one id),
+    no_document (document or chunk missing), no_pages, empty_span.
+    """
+    one = edge_rows.select("edge_id", "source_node_id", "target_node_id", "confidence", "evidence_ids", "evidence_count", "status", "build_id", "relationship_type").distinct()
+    pair = [F.least("source_node_id", "target_node_id").alias("a"), F.greatest("source_node_id", "target_node_id").alias("b")]
+    unmerged = one.groupBy("build_id", "relationship_type", *pair).agg(F.collect_set("edge_id").alias("ids")).where(F.size("ids") > 1)
+    blank = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " ")) == ""
     nodes = vocabulary.select(node_id(F.col("canonical")).alias("other_id")).distinct()
     say = lambda df, key, problem: df.select(F.col(key).alias("id"), F.lit(problem).alias("problem"))
     known = evidence.select("evidence_id", "chunk_id").distinct()
@@ -190,9 +199,14 @@ def graph_violations(edge_rows: DataFrame, evidence: DataFrame, vocabulary: Data
         say(one.where(~F.col("confidence").between(0, 1)), "edge_id", "bad_confidence"),
         say(both_ends(one).join(nodes, "other_id", "left_anti"), "edge_id", "unknown_node"),
         say(one.select("edge_id", F.explode("evidence_ids").alias("evidence_id")).join(known, "evidence_id", "left_anti"), "edge_id", "lost_evidence"),
-        say(one.where((F.col("status") == "TRUSTED") & (F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0)), "edge_id", "trusted_without_evidence"),
+        say(one.where((F.col("status") == "TRUSTED") & ((F.col("evidence_count") == 0) | (F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0))), "edge_id", "trusted_without_evidence"),
         say(one.groupBy("edge_id").count().where("count > 1"), "edge_id", "duplicate_edge"),
+        say(unmerged.select(F.explode("ids").alias("edge_id")), "edge_id", "unmerged_edge"),
         say(known.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti"), "evidence_id", "lost_chunk"),
+        say(evidence.groupBy("evidence_id").count().where("count > 1"), "evidence_id", "duplicate_evidence"),
+        say(evidence.where((F.coalesce("document_id", F.lit("")) == "") | (F.coalesce("chunk_id", F.lit("")) == "")), "evidence_id", "no_document"),
+        say(evidence.where(F.coalesce(F.size("page_numbers"), F.lit(0)) <= 0), "evidence_id", "no_pages"),
+        say(evidence.where(blank(F.col("evidence_text"))), "evidence_id", "empty_span"),
     ]
     out = parts[0]
     for part in parts[1:]:

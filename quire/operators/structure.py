@@ -145,11 +145,13 @@ def gutters(covered: DataFrame, bins: int = 50) -> DataFrame:
     return good.withColumn("r", F.row_number().over(best)).where("r = 1").select("document_id", "page_number", "first_bin", "last_bin")
 
 
-def chunk_violations(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+def chunk_violations(chunks: DataFrame, blocks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """(chunk_id, problem): what is wrong with a chunk's fields, provenance or order; empty when all is well.
 
     Problems: empty_text, no_blocks, no_pages, bad_span (first page after last), bad_count (token_count
-    missing or wrong), unknown_block, duplicate_id (different rows of one id), page_order, text_differs.
+    missing or wrong), unknown_block, repeated_block (a block whose id has several rows in its document),
+    block_order (blocks of one page against their reading order), duplicate_id (different rows of one id),
+    page_order, text_differs; with documents (document_id, page_count) also page_outside.
     """
     from ..functions.text import count_tokens
 
@@ -162,8 +164,11 @@ def chunk_violations(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
         F.when(~F.col("token_count").eqNullSafe(count_tokens(F.col("text"))), "bad_count"),
     ))
     own = one.select("chunk_id", F.explode(problems).alias("problem"))
-    used = one.select("chunk_id", "document_id", "text", F.posexplode("source_block_ids").alias("pos", "block_id"))
-    known = blocks.groupBy("document_id", "block_id").agg(F.max(F.trim(F.coalesce("text", F.lit("")), F.lit(" \n\t\r"))).alias("b"))
+    used = one.select("chunk_id", "document_id", "text", "source_block_ids", F.posexplode("source_block_ids").alias("pos", "block_id"))
+    known = blocks.groupBy("document_id", "block_id").agg(
+        F.max(F.trim(F.coalesce("text", F.lit("")), F.lit(" \n\t\r"))).alias("b"),
+        F.max("page_number").alias("page"), F.max("reading_order").alias("at"), F.count(F.lit(1)).alias("n_rows"),
+    )
     lost = used.join(known, ["document_id", "block_id"], "left_anti").select("chunk_id", F.lit("unknown_block").alias("problem"))
     twice = one.groupBy("chunk_id").count().where("count > 1").select("chunk_id", F.lit("duplicate_id").alias("problem"))
     order = Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
@@ -173,4 +178,16 @@ def chunk_violations(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
         .agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "b")))["b"], "\n\n").alias("again"))
         .where(~F.col("text").eqNullSafe(F.col("again"))).select("chunk_id", F.lit("text_differs").alias("problem"))
     )
-    return own.unionByName(lost).unionByName(twice).unionByName(back).unionByName(rebuilt).distinct()
+    found = used.join(known, ["document_id", "block_id"])
+    repeated = found.where(F.col("n_rows") > 1).select("chunk_id", F.lit("repeated_block").alias("problem"))
+    listed = Window.partitionBy("chunk_id", "document_id", "text", "source_block_ids").orderBy("pos")
+    before = lambda c: F.lag(c).over(listed)
+    swapped = found.withColumn("swapped", (F.col("page") == before("page")) & ((F.col("at") < before("at")) | (F.col("block_id") == before("block_id"))))
+    swapped = swapped.where("swapped").select("chunk_id", F.lit("block_order").alias("problem"))
+    out = own.unionByName(lost).unionByName(repeated).unionByName(swapped).unionByName(twice).unionByName(back).unionByName(rebuilt)
+    if documents is not None:
+        counts = documents.groupBy("document_id").agg(F.max("page_count").alias("page_count"))
+        pages = one.select("chunk_id", "document_id", F.explode("page_numbers").alias("page")).join(counts, "document_id", "left")
+        outside = pages.where((F.col("page") < 1) | (F.col("page") > F.col("page_count")))
+        out = out.unionByName(outside.select("chunk_id", F.lit("page_outside").alias("problem")))
+    return out.distinct()

@@ -374,7 +374,7 @@ def chunk_blocks(s, d):
 
 @query
 def validate_chunks(s, d):
-    return structure.chunk_violations(table(s, d, "chunks"), _blocks(s, d))
+    return structure.chunk_violations(table(s, d, "chunks"), table(s, d, "blocks"), table(s, d, "source_documents"))
 
 
 @query
