@@ -108,14 +108,20 @@ def token_windows(items: DataFrame, id_col: str, text_col: str, size: int, overl
     return flat.select("id", "window_no", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("text"))
 
 
+def text_area(blocks: DataFrame) -> DataFrame:
+    """blocks with n, area_x0 and area_x1: number and extent of the boxes of each page; pages of under three boxes or no width are left out."""
+    page = Window.partitionBy("document_id", "page_number")
+    n, low, high = F.count("bbox").over(page), F.min("bbox.x0").over(page), F.max("bbox.x1").over(page)
+    boxed = blocks.where(F.col("bbox").isNotNull()).withColumn("n", n).withColumn("area_x0", low).withColumn("area_x1", high)
+    return boxed.where((F.col("n") >= 3) & (F.col("area_x1") - F.col("area_x0") > 1))
+
+
 def occupancy(blocks: DataFrame, bins: int = 50) -> DataFrame:
-    """(document_id, page_number, bin, coverage): share of a page's boxes that cover each of its vertical strips."""
-    width = F.col("width") / bins
-    low = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("bbox.x0") / width))).cast("int")
-    high = F.greatest(low, F.least(F.lit(bins - 1), F.floor(F.col("bbox.x1") / width)).cast("int"))
-    boxes = F.count(F.lit(1)).over(Window.partitionBy("document_id", "page_number"))
+    """(document_id, page_number, bin, coverage): share of a page's boxes that cover each vertical strip of its text area."""
+    strip = lambda x: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("area_x0")) / (F.col("area_x1") - F.col("area_x0")) * bins))).cast("int")
     return (
-        blocks.withColumn("n", boxes).select("document_id", "page_number", "n", F.explode(F.sequence(low, high)).alias("bin"))
+        text_area(blocks).withColumn("low", strip("bbox.x0")).withColumn("high", F.greatest("low", strip("bbox.x1")))
+        .select("document_id", "page_number", "n", F.explode(F.sequence("low", "high")).alias("bin"))
         .groupBy("document_id", "page_number", "bin").agg(F.round(F.count(F.lit(1)) / F.max("n"), 6).alias("coverage"))
     )
 
@@ -145,6 +151,37 @@ def gutters(covered: DataFrame, bins: int = 50) -> DataFrame:
     return good.withColumn("r", F.row_number().over(best)).where("r = 1").select("document_id", "page_number", "first_bin", "last_bin")
 
 
+def layouts(blocks: DataFrame, bins: int = 50) -> DataFrame:
+    """(document_id, page_number, layout, layout_confidence, first_bin, last_bin) of every page with blocks.
+
+    Without a gutter a page is SINGLE_COLUMN. With one it is MIXED if under 0.15 of the boxes lie on either
+    side or at least 0.25 lie on neither, else TWO_COLUMN. The gutter is taken from the left edge of its
+    first strip to that of its last. Pages too bare for `text_area` are UNKNOWN.
+    """
+    key = ["document_id", "page_number"]
+    covered = occupancy(blocks, bins)
+    found = gutters(covered, bins)
+    # strips without a box are absent and count as 0
+    most = covered.join(found, key).where((F.col("bin") >= F.col("first_bin")) & (F.col("bin") < F.col("last_bin"))).groupBy(*key).agg(F.max("coverage").alias("most"))
+    edge = lambda b: F.col("area_x0") + F.col(b) * (F.col("area_x1") - F.col("area_x0")) / bins
+    left, right = F.col("bbox.x1") <= edge("first_bin"), F.col("bbox.x0") >= edge("last_bin")
+    share = lambda test: F.count_if(test) / F.count(F.lit(1))
+    sides = (
+        text_area(blocks).join(found, key, "left").groupBy(*key, "first_bin", "last_bin")
+        .agg(share(left).alias("left"), share(right).alias("right"), share(~(left | right)).alias("crossing"))
+    )
+    calm = F.round(F.least(F.lit(0.95), 0.6 + (1 - F.coalesce("most", F.lit(0.0))) * 0.35), 2)
+    uneven, crossed = (F.col("left") < 0.15) | (F.col("right") < 0.15), F.col("crossing") >= 0.25
+    kind = lambda bare, single, lone, mixed, two: (
+        F.when(F.col("crossing").isNull(), bare).when(F.col("first_bin").isNull(), single).when(uneven, lone).when(crossed, mixed).otherwise(two)
+    )
+    pages = blocks.groupBy(*key).agg(F.count("bbox").alias("n_boxes"))
+    return pages.join(sides, key, "left").join(most, key, "left").select(
+        *key, kind("UNKNOWN", "SINGLE_COLUMN", "MIXED", "MIXED", F.lit("TWO_COLUMN")).alias("layout"),
+        kind(F.when(F.col("n_boxes") > 0, 0.3).otherwise(0.0), 0.85, 0.6, 0.7, calm).alias("layout_confidence"), "first_bin", "last_bin",
+    )
+
+
 def chunk_violations(chunks: DataFrame, blocks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """(chunk_id, problem): what is wrong with a chunk's fields, provenance or order; empty when all is well.
 

@@ -346,12 +346,17 @@ def token_windows(s, d):
 
 @query
 def x_occupancy(s, d):
-    return structure.occupancy(_blocks(s, d).withColumn("width", F.lit(595.0)))
+    return structure.occupancy(_blocks(s, d))
 
 
 @query
 def detect_gutter(s, d):
-    return structure.gutters(structure.occupancy(_blocks(s, d).withColumn("width", F.lit(595.0))))
+    return structure.gutters(structure.occupancy(_blocks(s, d)))
+
+
+@query
+def detect_layout(s, d):
+    return structure.layouts(_blocks(s, d))
 
 
 @query
