@@ -95,7 +95,7 @@ def sketches(signature: np.ndarray) -> np.ndarray:
 
 
 def banding(config: BandConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (tid long, grams array<int>): (tid, sketch, keys); empty sets give no row."""
+    """For mapInArrow over (tid long, grams array<int>): (tid, size, sketch, keys); empty sets give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = config.rows * config.bands
@@ -110,12 +110,12 @@ def banding(config: BandConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             signature = signatures(flat, offsets[:-1][full] - base, n + 64)
             keys = band_keys(signature[:, :n], config)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, config.bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(sketches(signature[:, n:])), lists], ["tid", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(np.diff(offsets)[full].astype(np.int32)), pa.array(sketches(signature[:, n:])), lists], ["tid", "size", "sketch", "keys"])
 
     return run
 
 
-BANDED = "tid long, sketch long, keys array<long>"
+BANDED = "tid long, size int, sketch long, keys array<long>"
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -121,3 +121,18 @@ def test_bands_differ_by_number():
     keys = band_keys(signature, BandConfig(rows=2, bands=4))
     assert len(set(keys[0].tolist())) == 4
     assert BandConfig(4, 28).recall(0.65) > 0.99
+
+
+def test_pruning_loses_no_pair_of_the_bands(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(3000):
+        w = [f"w{i}x{j}" for j in range(42)]
+        edited = list(w)
+        for j in rng.sample(range(2, 40, 3), 5):
+            edited[j] += "z"
+        rows += [("chunk", f"a{i}", f"a{i}", " ".join(w), None, None), ("chunk", f"b{i}", f"b{i}", " ".join(edited), None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    unpruned = NearConfig(width=2, similarity=0.6, min_words=20, max_bits=64)
+    found = lambda config: {tuple(r)[:2] for r in near_texts(df, config).links.collect()}
+    assert found(CONFIG) == found(unpruned)
