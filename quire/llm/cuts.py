@@ -29,6 +29,8 @@ UNIT = r"[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|\p{N}+|[^\s\p{L}\p{N}]"
 class CutConfig:
     """similarity: share of the shorter text's five-word shingles that the longer must hold.
 
+    lead_bands: a text cut short shares little of the union, but its leading shingles; the first 8, 16, 32 and
+    so on from least_lead are banded beside the whole set, so texts meet at the last such number that both have.
     form_units: a longer line is prose. closing: share of the lines beginning with a form that must end
     there. abbreviation: a word with a full stop that closes a smaller share of its lines is no close.
     """
@@ -36,6 +38,8 @@ class CutConfig:
     width: int = 5
     similarity: float = 0.8
     bands: BandConfig = BandConfig(rows=3, bands=40)
+    lead_bands: BandConfig = BandConfig(rows=3, bands=10)
+    least_lead: int = 8
     form_units: int = 14
     closing: float = 0.1
     min_forms: int = 3
@@ -76,9 +80,12 @@ def _ends_early(short: str, long: str) -> bool:
 def early_ends(documents: DataFrame, config: CutConfig = CutConfig()) -> DataFrame:
     """(doc_id) of the texts that end early beside a near copy; documents: doc_id, text, one row a doc_id."""
     base = documents.select(F.col("doc_id").alias("tid"), shingle_set(words(F.col("text")), config.width).alias("grams"))
-    banded = base.mapInArrow(banding(config.bands), BANDED).select("tid", F.explode("keys").alias("key"))
+    whole = base.mapInArrow(banding(config.bands), BANDED).select("tid", F.lit(0).alias("lead"), F.explode("keys").alias("key"))
+    sizes = [config.least_lead << k for k in range(24)]
+    leads = base.select("tid", F.explode(F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.size("grams")), lambda n: F.slice("grams", 1, n))).alias("grams"))
+    banded = whole.unionByName(leads.mapInArrow(banding(config.lead_bands), BANDED).select("tid", F.col("size").alias("lead"), F.explode("keys").alias("key")))
     a, b = banded.alias("a"), banded.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tid") < F.col("b.tid"))).select(F.col("a.tid").alias("x"), F.col("b.tid").alias("y")).distinct()
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.lead") == F.col("b.lead")) & (F.col("a.tid") < F.col("b.tid"))).select(F.col("a.tid").alias("x"), F.col("b.tid").alias("y")).distinct()
     left, right = base.select(F.col("tid").alias("x"), F.col("grams").alias("gx")), base.select(F.col("tid").alias("y"), F.col("grams").alias("gy"))
     shared, least = F.size(F.array_intersect("gx", "gy")), F.least(F.size("gx"), F.size("gy"))
     near = write_table(pairs.join(left, "x").join(right, "y").where((least > 0) & (shared >= config.similarity * least)).select("x", "y"), "copies")

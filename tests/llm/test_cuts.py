@@ -1,6 +1,6 @@
 import random
 
-from quire.llm.cuts import _ends_early, cut_documents, cut_rates
+from quire.llm.cuts import early_ends, _ends_early, cut_documents, cut_rates
 
 SCHEMA = "doc_id long, text string, source string, is_cut string, terminality double"
 NOUNS = [f"{a}{b}" for a in ("gar", "lan", "mir", "sto", "val", "win") for b in ("den", "tern", "ror", "ne", "ley", "ter", "low")]
@@ -76,3 +76,15 @@ def test_very_long_text(spark):
     rows += [(3000, long, "x", "", 0.0), (3001, long + " The garden of", "x", "", 0.0)]
     out = {r.doc_id: r.is_cut for r in cut_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not out[3000] and out[3001]
+
+
+def test_heavily_cut_copies_are_found(spark):
+    rows, cut = [], set()
+    for i in range(40):
+        w = [f"w{i}x{j}" for j in range(400)]
+        rows.append((2 * i, " ".join(w) + "."))
+        for share in (0.05, 0.1, 0.2, 0.3):
+            rows.append((1000 * i + int(100 * share) + 100_000, " ".join(w[: int(400 * share)])))
+            cut.add(rows[-1][0])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in early_ends(df).collect()} == cut
