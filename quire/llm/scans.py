@@ -307,11 +307,11 @@ def scan_damage(blocks: DataFrame, documents: DataFrame, pages: DataFrame | None
     edge = F.coalesce((F.col("bbox.y1") <= 0.08 * top) | (F.col("bbox.y0") >= 0.93 * top), F.lit(False)).cast("int")
     scanned = height.select("document_id", "block_id", F.coalesce("block_type", F.lit("UNKNOWN")).alias("kind"), "text", edge.alias("edge"), F.col("page_number").alias("page"))
 
-    # lines that are a title or heading of their document, by strokes; only lines that don't end as a sentence can be
+    # lines that are a title or heading of their document, by strokes, however they end
     form = F.col("form")
     candidates = (
         scanned.select("document_id", "block_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .where((F.length("line") > 3) & ~F.col("line").rlike(r"[.!?,;:”]\s*$"))
+        .where(F.length("line") > 3)
         .select("document_id", "block_id", "pos", head_form(F.col("line")).alias("form"))
         .select("document_id", "block_id", (F.col("pos") + 1).alias("line_no"), F.xxhash64(form).alias("h"))
     )

@@ -102,3 +102,10 @@ def test_divisions_skip_intruders():
     got = [(i, j, a + b) for i, j, _, a, b in divisions(lines, [BODY, FOLIO, BODY, BODY, BODY, BODY, BODY])]
     assert got == [(0, 2, "divided"), (5, 6, "THRESHOLD")]
     assert divisions(["his own-", "HEAD LINE"], [BODY, HEADER]) == []
+
+
+def test_heads_that_end_as_sentences(spark):
+    own = [block("d", 40, "What Is the Shadow?", "HEADING"), block("d", 41, "The quiet harbour before the\nWhat Is the Shadow?\nlantern explains the garden."), block("d", 42, "WHAT IS THE SHADOW? 42", "HEADER")]
+    _, kinds = damage_of(spark, [*rows(), *own])
+    assert "header" in kinds.get(("d", "p0001-o041"), set()) and "header" in kinds.get(("d", "p0001-o042"), set())
+    assert "header" not in kinds.get(("d", "p0001-o040"), set())
