@@ -570,7 +570,7 @@ def vector_count(s, d):
 
 @query
 def upsert_vectors(s, d):
-    stored = _vectors(s, d).where(F.col("id") < 300).select("id", "label")
+    stored = _vectors(s, d).select("id", "label")
     incoming = _vectors(s, d).where(F.col("id") >= 200).select("id", (F.col("label") + 100).alias("label"))
     return corpus.upsert(stored, incoming, "id")
 

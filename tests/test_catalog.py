@@ -17,3 +17,11 @@ def test_packs_choose_from_the_whole_fused_pool(spark, monkeypatch):
     chosen = [r for r in rows if r.fate == "selected"]
     assert len(rows) == 20
     assert len(chosen) == 8 and 900 < sum(r.n_tokens for r in chosen) <= evidence.PackConfig().max_tokens
+
+
+def test_upsert_meets_the_whole_stored_table(spark, monkeypatch):
+    seen, upsert = {}, catalog.corpus.upsert
+    monkeypatch.setattr(catalog, "_vectors", lambda s, d: spark.range(600).withColumn("label", F.lit(1)))
+    monkeypatch.setattr(catalog.corpus, "upsert", lambda stored, incoming, key: seen.update(n=stored.count()) or upsert(stored, incoming, key))
+    rows = {r.id: r.label for r in catalog.upsert_vectors(spark, "").collect()}
+    assert seen["n"] == 600 and rows == {i: 1 if i < 200 else 101 for i in range(600)}
