@@ -118,6 +118,52 @@ def banding(config: BandConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 BANDED = "tid long, size int, sketch long, keys array<long>"
 
 
+def lead_banding(config: BandConfig, least: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (tid long, grams array<int>): (tid, size, key), one row a band of a leading part.
+
+    The parts of a set, in the order of its text, are its first least, 2 least, 4 least ... elements and the
+    whole; every part is the one before and what follows, so all signatures cost one pass. With `every`
+    all parts are given, else the longest full lead and the whole: a text cut short meets the whole text
+    there, however much was lost. Sets of fewer than `least` elements give no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = config.rows * config.bands
+        for batch in batches:
+            grams = batch.column(1)
+            offsets = grams.offsets.to_numpy().astype(np.int64)
+            full = np.flatnonzero(np.diff(offsets) >= least)
+            if not len(full):
+                continue
+            begin, size = offsets[full], np.diff(offsets)[full]
+            leads = np.floor(np.log2(size / least)).astype(np.int64) + 1  # full leads
+            parts = leads + (size > least << (leads - 1))  # the rest behind the last lead is a part too
+            first = np.cumsum(parts) - parts
+            of = np.repeat(np.arange(len(full)), parts)
+            k = np.arange(len(of)) - first[of]
+            starts = begin[of] + np.where(k > 0, least << np.maximum(k - 1, 0), 0)
+            # sets lie one after another but for short ones, which are passed over
+            flat = grams.values.to_numpy()
+            taken = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            shift = begin - (np.cumsum(size) - size)
+            signature = signatures(flat[taken], starts - shift[of], n)
+            for j in range(1, int(parts.max())):
+                at = first[parts > j] + j
+                signature[at] = np.minimum(signature[at], signature[at - 1])
+            last = first + parts - 1
+            lead = np.flatnonzero(k < leads[of]) if every else first + leads - 1
+            rows = np.concatenate((lead, last))
+            tag = np.concatenate((k[lead] + 1, np.zeros(len(last), np.int64))).astype(np.uint64)
+            keys = _mix64(band_keys(signature[rows], config).view(np.uint64) ^ _mix64(tag)[:, None]).view(np.int64)
+            who = np.repeat(of[rows], config.bands)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full[who])), pa.array(size[who].astype(np.int32)), pa.array(keys.ravel())], ["tid", "size", "key"])
+
+    return run
+
+
+LEADS = "tid long, size int, key long"
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once a row however often `use` refers to it."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from quire.llm.cuts import early_ends, _ends_early, cut_documents, cut_rates
 
 SCHEMA = "doc_id long, text string, source string, is_cut string, terminality double"
@@ -78,13 +80,57 @@ def test_very_long_text(spark):
     assert not out[3000] and out[3001]
 
 
-def test_heavily_cut_copies_are_found(spark):
-    rows, cut = [], set()
-    for i in range(40):
-        w = [f"w{i}x{j}" for j in range(400)]
-        rows.append((2 * i, " ".join(w) + "."))
-        for share in (0.05, 0.1, 0.2, 0.3):
-            rows.append((1000 * i + int(100 * share) + 100_000, " ".join(w[: int(400 * share)])))
-            cut.add(rows[-1][0])
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in early_ends(df).collect()} == cut
+def edited(rng, w, share):
+    """Words with a share of them replaced, dropped or doubled."""
+    out = []
+    for x in w:
+        r = rng.random()
+        out += [x + "q"] if r < share / 3 else [] if r < 2 * share / 3 else [x, "so"] if r < share else [x]
+    return out
+
+
+def test_cut_and_edited_copies_are_found(spark):
+    rng = random.Random(3)
+    rows, cut = [], {}
+    for i in range(60):
+        w = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(200, 400))]
+        rows.append((i, " ".join(w) + "."))
+        for share in (0.1, 0.3, 0.5, 0.8):
+            for edits in (0.0, 0.02):
+                rows.append((len(cut) + 1000, " ".join(edited(rng, w[: int(len(w) * share)], edits))))
+                cut[rows[-1][0]] = (share, edits)
+    df = spark.createDataFrame(rows, "tid long, text string")
+    found = {r.tid for r in early_ends(df).collect()}
+    assert found <= set(cut)
+    for kind in set(cut.values()):
+        mine = {i for i, k in cut.items() if k == kind}
+        # of short parts, two edits leave less than the similarity
+        assert len(mine & found) >= (1.0 if kind[1] == 0 else 0.9 if kind[0] > 0.1 else 0.7) * len(mine), kind
+
+
+def test_alignment_survives_edits():
+    text = whole(random.Random(2))
+    k = text.index(" explains") - 3
+    short = text[:k]
+    assert _ends_early(short, text)
+    swapped = short[:-12] + short[-11] + short[-12] + short[-10:]
+    assert _ends_early(swapped, text) and not _ends_early(text, swapped)
+    # both stop at one place, or the longer only lacks the stop
+    assert not _ends_early(text[:-1], text) and not _ends_early(short, short)
+
+
+def test_the_closing_word_decides(spark):
+    nouns = NOUNS[:30]
+    line = lambda i, w: f"The {nouns[i % 30]} says\n\nsee {w}"
+    rows = [(i, line(i, "also") + " the garden.") for i in range(60)] + [(100 + i, line(i, "below")) for i in range(60)]
+    rows = [(d, t + f"\n\nNo. {d}.") for d, t in rows] + [(900, "An odd text\n\nsee also"), (901, "An odd text\n\nsee below")]
+    out = {r.doc_id: r for r in cut_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("x"))).collect()}
+    # one form of line, but only one of the words closes it
+    assert out[901].terminality > 2 * out[900].terminality
+
+
+def test_many_copies_of_one_text(spark):
+    text = whole(random.Random(5))
+    rows = [(i, text, "x", "", 0.0) for i in range(3000)] + [(5000 + i, text[:-90], "x", "", 0.0) for i in range(2000)]
+    out = cut_documents(spark.createDataFrame(rows, SCHEMA)).where("is_cut").select("doc_id", "how").collect()
+    assert {r.doc_id for r in out} == set(range(5000, 7000)) and {r.how for r in out} == {"copy"}
