@@ -144,8 +144,9 @@ def early_ends(texts: DataFrame, config: CutConfig = CutConfig()) -> DataFrame:
 
 
 def line_units(line: Column, units: int) -> Column:
-    """The first units + 1 words, numbers and other characters of a line."""
-    return F.slice(F.regexp_extract_all(line, F.lit(UNIT), F.lit(0)), 1, units + 1)
+    """The first units + 1 words, numbers and other characters of a line; the rest of a long line is not taken apart."""
+    begin = F.regexp_extract(line, rf"^(?:\s*+(?:{UNIT})){{0,{units + 1}}}+", 0)
+    return F.regexp_extract_all(begin, F.lit(UNIT), F.lit(0))
 
 
 def line_form(line: Column, units: int) -> Column:
@@ -177,10 +178,14 @@ def closing_words(documents: DataFrame, asked: DataFrame, config: CutConfig = Cu
 
 def abbreviations(documents: DataFrame, config: CutConfig = CutConfig()) -> DataFrame:
     """(word, rate) of the words with a full stop behind that hardly ever close a line."""
-    lines = documents.select(F.explode(F.split("text", "\n")).alias("line"))
-    every = lines.select(F.explode(F.regexp_extract_all("line", F.lit(r"([\p{L}]+)\."), F.lit(1))).alias("word"), F.lit(0).alias("close"))
-    closing = lines.select(F.regexp_extract("line", r"([\p{L}]+)\.[\"'”’»)\]]*\s*$", 1).alias("word"), F.lit(1).alias("close")).where("word <> ''")
-    counted = every.unionByName(closing).groupBy("word").agg(F.sum(1 - F.col("close")).alias("n_stop"), F.sum("close").alias("n_close"))
+    parts = documents.select(F.explode(F.split("text", "\n")).alias("line")).where(F.contains("line", F.lit("."))).select(F.split("line", r"\.").alias("parts"))
+    # each part but the last has a stop behind it; the last stop closes the line if only closing marks follow
+    word = lambda part, i: F.struct(
+        F.regexp_extract(F.substring_index(part, " ", -1), r"(\p{L}+)$", 1).alias("word"),
+        ((i == F.size("parts") - 2) & F.get("parts", i + 1).rlike(r"^[\"'”’»)\]]*\s*$")).cast("long").alias("close"),
+    )
+    stops = parts.select(F.explode(F.transform(F.slice("parts", 1, F.size("parts") - 1), word)).alias("x")).select("x.*").where("word <> ''")
+    counted = stops.groupBy("word").agg(F.count(F.lit(1)).alias("n_stop"), F.sum("close").alias("n_close"))
     rated = counted.select("word", "n_stop", (F.col("n_close") / F.col("n_stop")).alias("rate"))
     return rated.where((F.col("n_stop") >= config.min_stops) & (F.col("rate") < config.abbreviation)).select("word", "rate")
 
@@ -194,11 +199,13 @@ def cut_documents(documents: DataFrame, config: CutConfig = CutConfig()) -> Data
     the others once. If two copies stop at one place, their close decides. All statistics are taken over
     all documents, each different text once.
     """
-    one = documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("text", "source")).alias("x")).select("doc_id", "x.*")
-    base = one.withColumn("text", F.coalesce("text", F.lit("")))
-    base = write_table(base.select("*", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")), "texts")
+    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
+    # texts are shuffled only where an id is repeated
+    repeated = write_table(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    one = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", "source")).alias("x")).select("doc_id", "x.*")
+    base = rows.join(repeated, "doc_id", "left_anti").unionByName(one).select("*", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
     first = base.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    again = base.select("doc_id", "h1", "h2").join(first, ["h1", "h2"]).where("doc_id <> first").select("doc_id")
+    again = write_table(base.select("doc_id", "h1", "h2").join(first, ["h1", "h2"]).where("doc_id <> first").select("doc_id"), "again")
     different = base.join(again, "doc_id", "left_anti")
     early = early_ends(different.select(F.col("doc_id").alias("tid"), "text"), config)
     early = different.select(F.col("doc_id").alias("tid"), "h1", "h2").join(early, "tid").select("h1", "h2", F.lit(True).alias("early"))
