@@ -1,12 +1,14 @@
 """Problem 6: evaluation texts leaking into training text.
 
-Method: a BM25 index of the test items with block-max pruning; every passage of every training text is
-a query, and all items whose score reaches their threshold are retrieved and verified word by word.
+Method: a BM25 inverted index of the test items with block-max WAND; every passage of every training text
+is a query, and all items whose score reaches their threshold are retrieved and verified word by word.
 
 The thresholds lose nothing: an item's threshold is the least score that any run of `run` of its words
 reaches by itself, so a passage that holds such a run scores at least as much. Scores are divided by the
-item's threshold, which makes 1 the threshold of all. Items lie in blocks; the sum of the block's largest
-weights bounds every score in it, and blocks whose bound stays below 1 are skipped without scoring.
+item's threshold, which makes 1 the threshold of all. Passages are searched document at a time: the
+cursors of a passage's terms are ordered by item, the pivot is the first item at which the maxima of the
+terms before it add up to 1, and it is scored only if the maxima of its block do too; else the cursors
+skip to the next block. Many passages take each step together, as numpy arrays.
 """
 
 from __future__ import annotations
@@ -16,98 +18,159 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..plans.bounded import bounded_rows
+from ..plans.lineage import write_table
 
 
-#: Passages scored at once; keeps the working arrays small.
-SLICE = 2048
+#: Passages searched together; keeps the working arrays small.
+SLICE = 4096
+_FAR = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
 class LeakConfig:
     """run: consecutive words that make a leak. passage: words of a query; passages overlap by run - 1 words.
 
-    max_items bounds the test items held by a task; they are indexed in shards of `shard` items.
+    block: items of a block. group_words: words of the items that a task holds at once, about 30 bytes each;
+    larger item tables are searched group by group, under statistics of all items.
     """
 
     run: int = 12
-    passage: int = 64
+    passage: int = 24
     k1: float = 1.2
     b: float = 0.75
-    block: int = 8
-    shard: int = 512
-    max_items: int = 50_000
-
-
-class Index:
-    """BM25 index of one shard of items given as arrays of 64-bit word hashes."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], config: LeakConfig) -> None:
-        self.config = config
-        self.items = [(number, w) for number, w in items if len(w) >= config.run]
-        self.terms = np.unique(np.concatenate([w for _, w in self.items])) if self.items else np.empty(0, np.int64)
-        n, v = len(self.items), len(self.terms)
-        frequency = np.zeros((v, n))
-        ids = [np.searchsorted(self.terms, w) for _, w in self.items]
-        for i, at in enumerate(ids):
-            np.add.at(frequency[:, i], at, 1)
-        df = (frequency > 0).sum(axis=1)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        length = np.array([len(w) for _, w in self.items], float)
-        norm = config.k1 * (1 - config.b + config.b * length / length.mean()) if n else length
-        weight = idf[:, None] * frequency * (config.k1 + 1) / (frequency + norm)
-        for i, at in enumerate(ids):
-            windows = np.sort(np.lib.stride_tricks.sliding_window_view(at, config.run), axis=1)
-            once = np.diff(windows, axis=1, prepend=-1) > 0  # each term of a window counts once
-            least = (weight[windows, i] * once).sum(axis=1).min()
-            weight[:, i] /= least * (1 - 1e-4)  # single precision must not lose an exact hit
-        blocks = -(-n // config.block)
-        padded = np.zeros((v + 1, blocks * config.block), np.float32)  # the last row stands for words of no item
-        padded[:v, :n] = weight
-        self.weight = padded.reshape(v + 1, blocks, config.block)
-        self.block_max = np.ascontiguousarray(self.weight.max(axis=2))
-        runs = [np.unique(hash_runs(w, config.run)) for _, w in self.items]
-        hashes = np.concatenate(runs or [np.empty(0, np.uint64)])
-        order = np.argsort(hashes, kind="stable")
-        self.run_hash = hashes[order]
-        self.run_item = np.repeat(np.array([number for number, _ in self.items], np.int64), [len(r) for r in runs])[order]
-        self.number = np.full(blocks * config.block, -1, np.int64)
-        self.number[:n] = [number for number, _ in self.items]
-
-    def retrieve(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, item number) of all scores of at least 1; passages are flat[begin:end]."""
-        nothing = np.empty(0, np.int64), np.empty(0, np.int64)
-        if not self.items or not len(begin):
-            return nothing
-        v = len(self.terms)
-        at = np.minimum(np.searchsorted(self.terms, flat), v - 1)
-        at[self.terms[at] != flat] = v
-        passage = np.repeat(np.arange(len(begin)), end - begin)
-        position, _ = _ragged(begin, end)
-        code = passage * (v + 1) + at[position]
-        code = np.unique(code[at[position] < v])
-        if not len(code):
-            return nothing
-        passage, term = np.divmod(code, v + 1)
-        starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-        bound = np.add.reduceat(self.block_max[term], starts, axis=0)
-        hit, block = np.nonzero(bound >= 1)
-        found_passage, found_item = [], []
-        stops = np.append(starts[1:], len(term))
-        for one in np.unique(block):
-            rows = hit[block == one]
-            at, first = _ragged(starts[rows], stops[rows])
-            scores = np.add.reduceat(self.weight[term[at], one], first, axis=0)
-            r, i = np.nonzero(scores >= 1)
-            found_passage.append(passage[starts[rows[r]]])
-            found_item.append(self.number[one * self.config.block + i])
-        if not found_passage:
-            return nothing
-        return np.concatenate(found_passage), np.concatenate(found_item)
+    block: int = 4
+    group_words: int = 2_000_000
+
+
+def postings(items: list[tuple[np.ndarray, np.ndarray]], n_items: int, mean_length: float, config: LeakConfig) -> dict[str, np.ndarray]:
+    """The inverted index of items given by word hashes and each word's document frequency, as plain arrays.
+
+    key: term * n + item of the postings in order, closed by a largest value, weight: their normalised scores; first: a term's first
+    posting; top: a term's largest weight; block_key, block_top: the same of each block that holds the term;
+    post_top: that of each posting's block.
+    run_hash, run_item: the hashes of the items' runs in order.
+    """
+    n = max(len(items), 1)
+    terms = np.unique(np.concatenate([w for w, _ in items] or [np.empty(0, np.int64)]))
+    keys, weights = [], []
+    for i, (w, df) in enumerate(items):
+        own, at, tf = np.unique(w, return_inverse=True, return_counts=True)
+        rarity = np.empty(len(own))
+        rarity[at] = df
+        idf = np.log(1 + (n_items - rarity + 0.5) / (rarity + 0.5))
+        weight = idf * tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * len(w) / mean_length))
+        windows = np.sort(np.lib.stride_tricks.sliding_window_view(at, config.run), axis=1)
+        once = np.diff(windows, axis=1, prepend=-1) > 0  # each term of a window counts once
+        least = (weight[windows] * once).sum(axis=1).min()
+        keys.append(np.searchsorted(terms, own) * n + i)
+        weights.append(weight / (least * (1 - 1e-6)))  # sums in another order must not lose an exact hit
+    key = np.concatenate(keys or [np.empty(0, np.int64)])
+    weight = np.concatenate(weights or [np.empty(0)])
+    order = np.argsort(key)
+    key, weight = key[order], weight[order]
+    first = np.searchsorted(key, np.arange(len(terms) + 1) * n)
+    blocks = -(-n // config.block)
+    block_of = key // n * blocks + key % n // config.block
+    block_key, begin = np.unique(block_of, return_index=True)
+    runs = [np.unique(hash_runs(w, config.run)) for w, _ in items]
+    hashes = np.concatenate(runs or [np.empty(0, np.uint64)])
+    by_hash = np.argsort(hashes, kind="stable")
+    return {
+        "n": np.int64(n), "terms": terms, "key": np.append(key, _FAR), "weight": weight, "first": first,
+        "top": np.maximum.reduceat(weight, first[:-1]) if len(terms) else weight,
+        "post_top": np.maximum.reduceat(weight, begin)[np.searchsorted(block_key, block_of)] if len(begin) else weight,
+        "block_key": block_key, "block_top": np.maximum.reduceat(weight, begin) if len(begin) else weight,
+        "run_hash": hashes[by_hash], "run_item": np.repeat(np.arange(len(items)), [len(r) for r in runs])[by_hash],
+    }
+
+
+def _by_passage(passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each passage begins among its cursors, and how many it has."""
+    starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+    return starts, np.diff(np.append(starts, len(passage)))
+
+
+def retrieve(index: dict[str, np.ndarray], flat: np.ndarray, begin: np.ndarray, end: np.ndarray, config: LeakConfig, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, item) of all scores of at least 1 by block-max WAND; passages are flat[begin:end].
+
+    seen, if given, gets the numbers of pivots met, of pivots scored, and of passages searched.
+    """
+    nothing = np.empty(0, np.int64), np.empty(0, np.int64)
+    terms, n = index["terms"], int(index["n"])
+    if not len(terms) or not len(begin):
+        return nothing
+    blocks = -(-n // config.block)
+    at = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
+    known = terms[at] == flat
+    position, _ = _ragged(begin, end)
+    passage = np.repeat(np.arange(len(begin)), end - begin)[known[position]]
+    code = np.unique(passage * len(terms) + at[position[known[position]]])
+    if not len(code):
+        return nothing
+    passage, term = np.divmod(code, len(terms))
+    # passages whose terms can't reach the threshold for any item have no pivot
+    starts, sizes = _by_passage(passage)
+    live = np.repeat(np.add.reduceat(index["top"][term], starts) >= 1, sizes)
+    passage, term = passage[live], term[live]
+    pos = index["first"][term]
+    item = index["key"][pos] - term * n
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(passage):
+        order = np.argsort(passage * n + item, kind="stable")  # most cursors are in order already
+        passage, term, pos, item = passage[order], term[order], pos[order], item[order]
+        starts, sizes = _by_passage(passage)
+        top = index["top"][term]
+        total = np.cumsum(top)
+        reached = total - np.repeat(total[starts] - top[starts], sizes) >= 1
+        pivot = np.minimum.reduceat(np.where(reached, np.arange(len(passage)), _FAR), starts)
+        going = pivot < _FAR
+        if not going.all():
+            keep = np.repeat(going, sizes)
+            passage, term, pos, item = passage[keep], term[keep], pos[keep], item[keep]
+            if not len(passage):
+                break
+            pivot = pivot[going] - (np.cumsum(~keep))[pivot[going]]
+            starts, sizes = _by_passage(passage)
+        at_pivot = item[pivot]
+        d = np.repeat(at_pivot, sizes)
+        upto = item <= d
+        # the block of the pivot: most cursors stand in it
+        inside = upto & (item // config.block == d // config.block)
+        tops = np.where(inside, index["post_top"][pos], 0.0)
+        other = np.flatnonzero(upto & ~inside)
+        block = term[other] * blocks + d[other] // config.block
+        j = np.minimum(np.searchsorted(index["block_key"], block), len(index["block_key"]) - 1)
+        tops[other] = np.where(index["block_key"][j] == block, index["block_top"][j], 0)
+        promising = np.add.reduceat(tops, starts) >= 1
+        scored = promising & (item[starts] == at_pivot)  # every cursor before the pivot has come to it
+        if scored.any():
+            score = np.add.reduceat(np.where(item == d, index["weight"][pos], 0), starts)
+            hit = scored & (score >= 1)
+            found.append((passage[starts[hit]], at_pivot[hit]))
+        if seen is not None:
+            seen[0] += len(starts)
+            seen[1] += int(scored.sum())
+        # behind a pivot that was scored, up to one that wasn't reached, or to the next block or cursor
+        beyond = np.minimum.reduceat(np.where(upto, _FAR, item), starts)
+        target = np.where(scored, at_pivot + 1, np.where(promising, at_pivot, np.minimum((at_pivot // config.block + 1) * config.block, beyond)))
+        target = np.repeat(np.minimum(target, n), sizes)
+        behind = np.flatnonzero(item < target)
+        # often the next posting is the one; else the cursor skips to it
+        wanted = term[behind] * n + target[behind]
+        pos[behind] += 1
+        far = np.flatnonzero(index["key"][pos[behind]] < wanted)
+        pos[behind[far]] = np.searchsorted(index["key"], wanted[far])
+        ended = pos[behind] >= index["first"][term[behind] + 1]
+        item[behind] = index["key"][pos[behind]] - term[behind] * n
+        if ended.any():
+            passage, term, pos, item = (np.delete(x, behind[ended]) for x in (passage, term, pos, item))
+    if seen is not None:
+        seen[2] += len(begin)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else nothing
 
 
 def _ragged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +204,12 @@ def _passages(offsets: np.ndarray, config: LeakConfig) -> tuple[np.ndarray, np.n
     return row, begin, np.minimum(begin + config.passage, offsets[1:][row])
 
 
-def _verified(index: Index, flat: np.ndarray, offsets: np.ndarray, row: np.ndarray, passage: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, item number, hash of the shared run) of the retrieved pairs whose passage holds a run of the item."""
-    config = index.config
+def _verified(index: dict[str, np.ndarray], flat: np.ndarray, offsets: np.ndarray, row: np.ndarray, passage: np.ndarray, item: np.ndarray, config: LeakConfig) -> list[tuple[int, int, int]]:
+    """(row, item, hash of the shared run) of the retrieved pairs whose passage holds a run of the item."""
+    if not len(passage):
+        return []
     own = hash_runs(flat, config.run)
-    low, high = np.searchsorted(index.run_hash, own, "left"), np.searchsorted(index.run_hash, own, "right")
+    low, high = np.searchsorted(index["run_hash"], own, "left"), np.searchsorted(index["run_hash"], own, "right")
     at = np.flatnonzero(high > low)
     # the row of each place, and the passage of that row that holds the run from there
     home = np.searchsorted(offsets, at, "right") - 1
@@ -154,9 +218,9 @@ def _verified(index: Index, flat: np.ndarray, offsets: np.ndarray, row: np.ndarr
     of = first + (at - offsets[home]) // (config.passage - config.run + 1)
     which, _ = _ragged(low[at], high[at])
     times = high[at] - low[at]
-    number = index.run_item[which]
-    width = int(index.run_item.max()) + 1 if len(index.run_item) else 1
-    known = np.isin(np.repeat(of, times) * width + number, passage * width + item)
+    number = index["run_item"][which]
+    n = int(index["n"])
+    known = np.isin(np.repeat(of, times) * n + number, passage * n + item)
     return list(zip(np.repeat(home, times)[known].tolist(), number[known].tolist(), np.repeat(own[at], times)[known].tolist()))
 
 
@@ -164,6 +228,19 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
+def indexed_items(items: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
+    """(question_id, answer, question, df) of the items that hold a run: word hashes, and the document frequency of each word of the answer."""
+    rows = (
+        items.where(F.col("question_id").isNotNull()).groupBy("question_id").agg(F.max("reference_answer").alias("answer"), F.max("question").alias("question"))
+        .select("question_id", word_hashes(F.col("answer")).alias("answer"), F.array_distinct(word_hashes(F.col("question"))).alias("question"))
+        .where(F.size("answer") >= config.run)
+    )
+    base = write_table(rows, "items")
+    uses = base.select("question_id", F.explode(F.array_distinct("answer")).alias("w"))
+    counted = uses.join(uses.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w").groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("n"))
+    return write_table(base.join(counted, "question_id").select("question_id", "answer", "question", F.transform("answer", lambda w: F.col("n")[w]).alias("df")), "index")
+
+
 def leaked(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), id_col: str = "doc_id") -> DataFrame:
     """Each document that holds `run` consecutive words of an item's reference_answer.
 
@@ -171,26 +248,41 @@ def leaked(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConf
     question_id, answer_share (share of the answer's distinct runs found in the document) and
     question_share (share of the question's distinct words in the document, null without a question).
     Answers that are null or shorter than a run, and null or short texts, give no case. Items of one
-    answer are reported each. Repeated rows of a document or an item count once. Items beyond max_items
-    raise; the index is the only broadcast side and its size is checked. Whole texts are read.
+    answer are reported each. Repeated rows of a document or an item count once. Whole texts are read.
+    Any number of items is searched: the driver and the tasks hold one group of about group_words words
+    at a time, and the documents are read once a group.
     """
-    rows = bounded_rows(
-        items.where(F.col("question_id").isNotNull()).groupBy("question_id").agg(F.max("reference_answer").alias("answer"), F.max("question").alias("question"))
-        .select("question_id", word_hashes(F.col("answer")).alias("answer"), F.array_distinct(word_hashes(F.col("question"))).alias("question")),
-        config.max_items, "the table of test items",
-    )
-    rows = sorted(rows, key=lambda r: r.question_id)
-    answers = [np.array(r.answer, np.int64) for r in rows]
-    questions = [np.array(r.question, np.int64) for r in rows]
-    names = [r.question_id for r in rows]
-    distinct_runs = [len(np.unique(hash_runs(a, config.run))) for a in answers]
     kind = dict(documents.dtypes)[id_col]
+    schema = f"`{id_col}` {kind}, question_id string, answer_share double, question_share double"
+    spark = documents.sparkSession
+    table = indexed_items(items, config)
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("answer")), F.lit(0)).alias("words")).first()
+    groups = -(-size.words // config.group_words)
+    if not groups:
+        return spark.createDataFrame([], schema)
+    queries = documents.select(id_col, word_hashes(F.col("text")).alias("w"))
+    if groups > 1:
+        queries = write_table(queries, "passages")
+    out = None
+    for g in range(groups):
+        own = table.where(F.pmod(F.xxhash64("question_id"), F.lit(groups)) == g).orderBy("question_id").collect()
+        found = queries.mapInArrow(_search(spark, own, size.n, size.words / size.n, config, id_col), schema)
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy(id_col, "question_id").agg(F.max("answer_share").alias("answer_share"), F.max("question_share").alias("question_share"))
+
+
+def _search(spark, rows: list[Row], n_items: int, mean_length: float, config: LeakConfig, id_col: str):
+    """For mapInArrow over (id, word hashes): the leaks of the items given by `rows`."""
+    answers = [np.array(r.answer, np.int64) for r in rows]
+    index = postings([(a, np.array(r.df, np.int64)) for a, r in zip(answers, rows)], n_items, mean_length, config)
+    shared = spark.sparkContext.broadcast({
+        "index": index, "names": [r.question_id for r in rows],
+        "questions": [np.array(r.question or [], np.int64) for r in rows],
+        "runs": [len(np.unique(hash_runs(a, config.run))) for a in answers],
+    })
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = [
-            Index([(i, answers[i]) for i in range(k, min(k + config.shard, len(answers)))], config)
-            for k in range(0, len(answers), config.shard)
-        ]
+        index, names, questions, distinct_runs = (shared.value[k] for k in ("index", "names", "questions", "runs"))
         for batch in batches:
             column = batch.column(1)
             offsets = column.offsets.to_numpy().astype(np.int64)
@@ -198,14 +290,11 @@ def leaked(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConf
             flat = flat[offsets[0] : offsets[-1]]
             offsets = offsets - offsets[0]
             row, begin, end = _passages(offsets, config)
-            hits: list[tuple[int, int, int]] = []
-            for index in shards:
-                found = [index.retrieve(flat, begin[k : k + SLICE], end[k : k + SLICE]) for k in range(0, len(begin), SLICE)]
-                passage = np.concatenate([p + k * SLICE for k, (p, _) in enumerate(found)] or [np.empty(0, np.int64)])
-                item = np.concatenate([i for _, i in found] or [np.empty(0, np.int64)])
-                hits += _verified(index, flat, offsets, row, passage, item)
+            found = [retrieve(index, flat, begin[k : k + SLICE], end[k : k + SLICE], config) for k in range(0, len(begin), SLICE)]
+            passage = np.concatenate([p + k * SLICE for k, (p, _) in enumerate(found)] or [np.empty(0, np.int64)])
+            item = np.concatenate([i for _, i in found] or [np.empty(0, np.int64)])
             runs: dict[tuple[int, int], set[int]] = {}
-            for r, i, h in hits:
+            for r, i, h in _verified(index, flat, offsets, row, passage, item, config):
                 runs.setdefault((r, i), set()).add(h)
             keys = sorted(runs)
             shares = []
@@ -222,10 +311,7 @@ def leaked(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConf
                 [id_col, "question_id", "answer_share", "question_share"],
             )
 
-    queries = documents.select(id_col, word_hashes(F.col("text")).alias("w"))
-    schema = f"`{id_col}` {kind}, question_id string, answer_share double, question_share double"
-    found = queries.mapInArrow(search, schema)
-    return found.groupBy(id_col, "question_id").agg(F.max("answer_share").alias("answer_share"), F.max("question_share").alias("question_share"))
+    return search
 
 
 def leak_report(found: DataFrame) -> DataFrame:
