@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..plans.lineage import write_table
-from .minhash import LEADS, BandConfig, lead_banding, shingle_set
+from .minhash import LEADS, SHINGLED, BandConfig, lead_banding, shingling, word_hashes
 
 #: Fixed patterns: a stop with closing marks behind it, and the units of a line's form.
 STOP = r"[.!?…][\"'”’»)\]]*\s*$"
@@ -118,7 +118,8 @@ def early_ends(texts: DataFrame, config: CutConfig = CutConfig()) -> DataFrame:
     The shorter of two meets the longer at its longest lead or by the whole set, and is verified by the
     share of its shingles that the longer holds.
     """
-    base = write_table(texts.select("tid", shingle_set(words(F.col("text")), config.width).alias("grams")).where(F.size("grams") >= config.least_lead), "shingles")
+    hashed = texts.select("tid", word_hashes(words(F.col("text"))).alias("w"))
+    base = write_table(hashed.mapInArrow(shingling(config.width), SHINGLED).where(F.size("grams") >= config.least_lead), "shingles")
     own = base.mapInArrow(lead_banding(config.bands, config.least_lead, every=False), LEADS)
     all_leads = base.mapInArrow(lead_banding(config.bands, config.least_lead, every=True), LEADS)
     a, b = own.alias("a"), all_leads.alias("b")

@@ -164,6 +164,45 @@ def lead_banding(config: BandConfig, least: int, every: bool) -> Callable[[Itera
 LEADS = "tid long, size int, key long"
 
 
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.hash(w))
+
+
+def shingling(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (tid long, w array<int>), w being word hashes: (tid, grams), the distinct hashes of `width` adjacent words in order.
+
+    Texts of fewer words get an empty list.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            offsets = column.offsets.to_numpy().astype(np.int64)
+            flat = column.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.uint32)
+            size = np.diff(offsets)
+            n = max(len(flat) - width + 1, 0)
+            x = np.zeros(n, np.uint64)
+            for k in range(width):
+                x = _mix64(x ^ flat[k : k + n].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+            row = np.repeat(np.arange(len(size)), np.maximum(size - width + 1, 0))
+            start = offsets[:-1] - offsets[0]
+            first = np.cumsum(np.maximum(size - width + 1, 0)) - np.maximum(size - width + 1, 0)
+            at = start[row] + np.arange(len(row)) - first[row]
+            gram = (x[at] >> np.uint64(32)).astype(np.uint64)
+            # the first of each hash in its row
+            _, kept = np.unique((row.astype(np.uint64) << np.uint64(32)) | gram, return_index=True)
+            kept.sort()
+            counts = np.bincount(row[kept], minlength=len(size))
+            ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            values = pa.array(gram[kept].astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["tid", "grams"])
+
+    return run
+
+
+SHINGLED = "tid long, grams array<int>"
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once a row however often `use` refers to it."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -1,8 +1,12 @@
 """Problem 4: noise in text from scanned pages.
 
 Method: a hidden Markov model labels the lines of every scanned block as running head, folio, body or
-break (the line that ends a paragraph) from layout features; the labelled lines are reassembled into
-paragraphs. Divided words are rejoined over intruding lines, and misread words are recognised by their
+break (the line that ends a paragraph) from layout features: place and length of the line, its case and
+ending, the lines around it, its recurrence in the document, and the place of its block on the page. It is
+fitted on a sample labelled by evidence that the features don't hold: the document's title and headings,
+the numbers of its pages, and how the text goes on behind a line. Lines labelled as heads or folios are
+then checked exactly, and the labelled lines are reassembled into paragraphs: a break ends one, within a
+block or at its end. Divided words are rejoined over intruding lines, and misread words are recognised by their
 strokes: letters that scanners confuse are spelled in the same strokes, so a word that is unknown but has
 the strokes of a known word is a misreading of it.
 """
@@ -17,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..plans.lineage import write_table
+from ..plans.ordered import running
 
 #: Fixed: marks that divide a word at a line's end.
 MARKS = "-‐‑¬­"
@@ -42,17 +46,25 @@ _NUMERIC = re.compile(r"^\d+[a-z]?$")
 
 HEADER, FOLIO, BODY, BREAK = range(4)
 #: Sizes of the observed features, in the order of `observe`.
-_SIZES = (4, 3, 3, 2, 3, 3, 2)
+_SIZES = (4, 3, 3, 4, 3, 3, 2, 2, 2)
+#: What is known of a line beside its text: it is a head of its document, it recurs there, it is numbered as the page.
+KNOWN, AGAIN, PAGED = 1, 2, 4
+_CAPITALS = re.compile(r"\b[^\W\d_]")
 
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """sample: blocks that the line model is fitted on; min_count: uses that make a word known; frequent: known words held by a task.
+    """sample: blocks that the line model is fitted on; gain: times that a missed head or folio costs more than one
+    proposed in vain, as proposals are checked; offset_pages: pages whose numbers differ from page_number alike
+    before the difference counts as the document's; part_pages: pages of a paragraph that are one row; min_count: uses that make a word known; frequent: known words held by a task.
 
     Words beyond `frequent` are still known: they are taken out by a join after the tasks.
     """
 
     sample: int = 4000
+    gain: float = 10_000.0
+    offset_pages: int = 3
+    part_pages: int = 16
     min_count: int = 3
     frequent: int = 50_000
 
@@ -106,59 +118,86 @@ def known_words(blocks: DataFrame, config: ScanConfig) -> DataFrame:
     )
 
 
-def observe(lines: list[str], kind: str, edge: int, known: set[int]) -> list[tuple[int, ...]]:
-    """The features of each line: position, shape, ending, known head, length, kind of block, edge of the page.
+def _case(line: str) -> int:
+    """0 begins in lower case, 1 capitals or most words capitalised, 2 begins with a capital, 3 no letters."""
+    first = next((c for c in line if c.isalpha()), "")
+    if not first:
+        return 3
+    if first.islower():
+        return 0
+    if line.isupper():
+        return 1
+    begins = _CAPITALS.findall(line)
+    return 1 if sum(c.isupper() for c in begins) >= 0.6 * len(begins) else 2
 
-    A TITLE or HEADING block is the heading itself, so its lines are never known heads.
+
+def observe(lines: list[str], kind: str, edge: int, again: set[int]) -> list[tuple[int, ...]]:
+    """The features of each line: position, shape, ending, case, length, kind of block, edge of the page, recurrence, intrusion.
+
+    A line intrudes if the one before it has no end and the one behind goes on in lower case.
     """
-    if kind in ("TITLE", "HEADING"):
-        known = set()
     n, longest = len(lines), max(len(x) for x in lines) or 1
     group = 0 if kind in ("HEADER", "FOOTER", "PAGE_NUMBER") else 1 if kind in ("TITLE", "HEADING") else 2
+    endings = [0 if _END.search(x) else 1 if _DIVIDED.search(x) else 2 for x in lines]
+    cases = [_case(x) for x in lines]
     rows = []
     for i, line in enumerate(lines):
         position = 0 if n == 1 else 1 if i == 0 else 2 if i == n - 1 else 3
         shape = 0 if len(line) <= 16 and _FOLIO.match(line) else 1 if _EDGE_NUMBER.search(line) else 2
-        ending = 0 if _END.search(line) else 1 if _DIVIDED.search(line) else 2
         ratio = len(line) / longest
-        rows.append((position, shape, ending, int(i + 1 in known), 0 if ratio < 0.5 else 1 if ratio < 0.85 else 2, group, edge))
+        intrudes = 0 < i < n - 1 and endings[i - 1] > 0 and cases[i] > 0 and cases[i + 1] == 0
+        rows.append((position, shape, endings[i], cases[i], 0 if ratio < 0.5 else 1 if ratio < 0.85 else 2, group, edge, int(i + 1 in again), int(intrudes)))
     return rows
 
 
+def evident(lines: list[str], kind: str, known: set[int], paged: set[int], page: int | None, follower: str | None) -> list[int]:
+    """Labels of a sample block's lines by evidence that isn't observed.
+
+    Heads are those of the document, folios have the page's number. A line ends its paragraph if text that
+    begins otherwise than in lower case comes next, and within a block only if it ends short with a stop.
+    follower: the text that comes next on the page, if any; behind the last of a page the stop decides.
+    """
+    longest = max(len(x) for x in lines) or 1
+    heading = kind in ("TITLE", "HEADING")
+    labels = []
+    for i, line in enumerate(lines):
+        if i + 1 in known and not heading:
+            labels.append(HEADER)
+        elif _is_page(line, i + 1, lines, page, paged):
+            labels.append(FOLIO)
+        else:
+            last = i == len(lines) - 1
+            after = follower if last else lines[i + 1]
+            stop = bool(_END.search(line))
+            ends = _case(after) > 0 if after else stop
+            labels.append(BREAK if ends and (last or (stop and len(line) < 0.85 * longest)) else BODY)
+    return labels
+
+
 class LineModel:
     """Hidden Markov model over the lines of a block; features are independent given the label."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: list[np.ndarray]) -> None:
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: list[np.ndarray], gain: float = 1.0) -> None:
         self.start, self.move, self.emit = np.log(start), np.log(move), [np.log(e) for e in emit]
+        self.bias = np.log(np.array([gain, gain, 1.0, 1.0]))
 
     @classmethod
-    def fit(cls, sequences: list[list[tuple[int, ...]]]) -> LineModel:
-        """Smoothed counts over sequences labelled by what is certain of a line; hardly any smoothing for known heads, which are certain."""
+    def fit(cls, sequences: list[tuple[list[tuple[int, ...]], list[int]]], gain: float = 1.0) -> LineModel:
+        """Smoothed counts over observed lines and their labels."""
         start, move = np.ones(4), np.ones((4, 4))
-        emit = [np.full((4, size), 1e-3 if k == 3 else 1.0) for k, size in enumerate(_SIZES)]
-        for rows in sequences:
-            before = None
-            for row in rows:
-                position, shape, ending, known, length, _, _ = row
-                if known:
-                    label = HEADER
-                elif shape == 0:
-                    label = FOLIO
-                elif ending == 0 and (position in (0, 2) or length < 2):
-                    label = BREAK
+        emit = [np.ones((4, size)) for size in _SIZES]
+        for rows, labels in sequences:
+            for i, (row, label) in enumerate(zip(rows, labels)):
+                if i:
+                    move[labels[i - 1], label] += 1
                 else:
-                    label = BODY
-                if before is None:
                     start[label] += 1
-                else:
-                    move[before, label] += 1
                 for table, value in zip(emit, row):
                     table[label, value] += 1
-                before = label
-        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), [e / e.sum(axis=1, keepdims=True) for e in emit])
+        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), [e / e.sum(axis=1, keepdims=True) for e in emit], gain)
 
-    def label(self, sequences: list[list[tuple[int, ...]]]) -> list[list[int]]:
-        """The likeliest labels of each sequence; sequences of one length are decoded together."""
+    def label(self, sequences: list[list[tuple[int, ...]]], never: list[list[tuple[int, int]]] | None = None) -> list[list[int]]:
+        """The likeliest labels of each sequence, without those (line, label) in `never`; sequences of one length are decoded together."""
         by_length: dict[int, list[int]] = {}
         for i, rows in enumerate(sequences):
             by_length.setdefault(len(rows), []).append(i)
@@ -167,7 +206,11 @@ class LineModel:
             if not n:
                 continue
             seen = np.array([sequences[i] for i in which])  # sequence, line, feature
-            score = sum(table.T[seen[:, :, k]] for k, table in enumerate(self.emit))
+            score = self.bias + sum(table.T[seen[:, :, k]] for k, table in enumerate(self.emit))
+            if never:
+                for row, i in enumerate(which):
+                    for line, label in never[i]:
+                        score[row, line, label] = -1e9
             best = self.start + score[:, 0]
             back = np.zeros((n, len(which), 4), np.int8)
             for t in range(1, n):
@@ -184,12 +227,12 @@ class LineModel:
         return out
 
 
-def _is_page(line: str, lines: list[str], page: int | None) -> bool:
-    """Whether a line in the form of a folio is a page number: Roman, or the number of the page, or alone in its block."""
+def _is_page(line: str, number: int, lines: list[str], page: int | None, paged: set[int]) -> bool:
+    """Whether a line in the form of a folio is a page number: Roman, the number of the page as the document counts, or alone in its block."""
     if len(line) > 16 or not _FOLIO.match(line):
         return False
-    number = _DIGITS.search(line)
-    return number is None or page is None or int(number[0]) == page or len(lines) == 1
+    digits = _DIGITS.search(line)
+    return digits is None or page is None or int(digits[0]) == page or number in paged or len(lines) == 1
 
 
 def divisions(lines: list[str], labels: list[int]) -> list[tuple[int, int, str, str, str]]:
@@ -238,10 +281,37 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*[column.to_pylist() for column in batch.columns])
 
 
+def _marked(marks: list[int] | None, bit: int) -> set[int]:
+    """The numbers of the lines of which `bit` is known; marks are 8 times the number of a line and its bits."""
+    return {m >> 3 for m in marks or () if m & bit}
+
+
 def _labelled(batch: pa.RecordBatch, model: LineModel) -> tuple[list[tuple], list[list[str]], list[list[int]]]:
+    """Rows, lines and labels. Where a proposed head is none of its document's, or a folio isn't the page's, the block is decoded once more without that label."""
     rows = list(_rows(batch))
     texts = [r[3].split("\n") for r in rows]
-    return rows, texts, model.label([observe(x, r[2], r[4], set(r[5] or ())) for r, x in zip(rows, texts)])
+    seen = [observe(x, r[2], r[4], _marked(r[5], AGAIN)) for r, x in zip(rows, texts)]
+    labels = model.label(seen)
+    false: dict[int, list[tuple[int, int]]] = {}
+    for k, (r, lines, label) in enumerate(zip(rows, texts, labels)):
+        if HEADER in label or FOLIO in label:
+            known = set() if r[2] in ("TITLE", "HEADING") else _marked(r[5], KNOWN)
+            paged = _marked(r[5], PAGED)
+            # neither label remains possible for a line that failed as one
+            for i, x in enumerate(label):
+                if x in (HEADER, FOLIO):
+                    head, folio = i + 1 in known, _is_page(lines[i], i + 1, lines, r[6], paged)
+                    if not (head if x == HEADER else folio):
+                        false.setdefault(k, []).extend([(i, HEADER)] * (not head) + [(i, FOLIO)] * (not folio))
+    if false:
+        # the others keep what was confirmed, and the lines around are labelled anew
+        again = list(false)
+        for k in again:
+            false[k] += [(i, y) for i, x in enumerate(labels[k]) if x in (HEADER, FOLIO) and (i, x) not in false[k] for y in range(4) if y != x]
+        open_lines = [[(i, y) for i, x in enumerate(labels[k]) if x not in (HEADER, FOLIO) for y in (HEADER, FOLIO)] for k in again]
+        for k, label in zip(again, model.label([seen[k] for k in again], [false[k] + o for k, o in zip(again, open_lines)])):
+            labels[k] = label
+    return rows, texts, labels
 
 
 def _facts(model: LineModel, frequent: frozenset[str]):
@@ -251,12 +321,10 @@ def _facts(model: LineModel, frequent: frozenset[str]):
         for batch in batches:
             out: list[tuple] = []
             rows, texts, labels = _labelled(batch, model)
-            for (doc, block, kind, _, _, known, page), lines, label in zip(rows, texts, labels):
-                known = set(known or ())
-                head = {i for i, x in enumerate(label) if x == HEADER and i + 1 in known}
-                if head and kind not in ("TITLE", "HEADING"):
+            for (doc, block, *_), lines, label in zip(rows, texts, labels):
+                if HEADER in label:
                     out.append((doc, block, "header", None, None))
-                if any(x == FOLIO and _is_page(lines[i], lines, page) for i, x in enumerate(label)):
+                if FOLIO in label:
                     out.append((doc, block, "folio", None, None))
                 for _, _, mark, left, right in divisions(lines, label):
                     if mark == "-":
@@ -285,6 +353,34 @@ class Scans:
     model: LineModel
 
 
+def line_marks(scanned: DataFrame, heads: DataFrame, config: ScanConfig) -> DataFrame:
+    """(document_id, block_id, marks) of the blocks with a line that is a head of its document, recurs in it, or has the page's number.
+
+    Lines are compared by the strokes of their letters, however they end. A document's own way of numbering
+    is a difference to page_number that several of its pages share.
+    """
+    form = F.col("form")
+    digits = F.when(F.length("line") <= 16, F.regexp_extract("line", r"^\W*(?:[pP](?:age|\.)?\s*)?(\d{1,5})\W*$", 1))
+    lines = (
+        scanned.select("document_id", "block_id", "page", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("document_id", "block_id", "page", (F.col("pos") + 1).alias("line_no"), F.when(F.length("line") > 3, head_form(F.col("line"))).alias("form"), F.try_to_number(F.nullif(digits, F.lit("")), F.lit("99999")).cast("int").alias("number"))
+        .select("document_id", "block_id", "page", "line_no", F.when(F.length(form) >= 4, F.xxhash64(form)).alias("h"), "number")
+        .where("h is not null or number is not null")
+    )
+    lines = write_table(lines, "lines")
+    again = lines.where("h is not null").groupBy("document_id", "h").agg(F.min("block_id").alias("a"), F.max("block_id").alias("b")).where("a <> b")
+    flags = (
+        heads.select("document_id", F.xxhash64("form").alias("h"), F.lit(KNOWN).alias("bits"))
+        .unionByName(again.select("document_id", "h", F.lit(AGAIN).alias("bits")))
+        .groupBy("document_id", "h").agg(F.bit_or("bits").alias("bits"))
+    )
+    offsets = lines.where("number is not null").select("document_id", "page", (F.col("number") - F.col("page")).alias("offset")).distinct()
+    offsets = offsets.groupBy("document_id", "offset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= config.offset_pages)
+    paged = lines.withColumn("offset", F.col("number") - F.col("page")).join(offsets, ["document_id", "offset"], "left_semi")
+    found = lines.join(flags, ["document_id", "h"]).select("document_id", "block_id", "line_no", "bits").unionByName(paged.select("document_id", "block_id", "line_no", F.lit(PAGED).alias("bits")))
+    return found.groupBy("document_id", "block_id").agg(F.collect_set((F.col("line_no") * 8 + F.col("bits")).cast("int")).alias("marks"))
+
+
 def scan_damage(blocks: DataFrame, documents: DataFrame, pages: DataFrame | None = None, config: ScanConfig = ScanConfig()) -> Scans:
     """Damaged blocks of scanned pages (extraction_method OCR), one row a block and kind of damage.
 
@@ -305,28 +401,25 @@ def scan_damage(blocks: DataFrame, documents: DataFrame, pages: DataFrame | None
         height = text.join(one, ["document_id", "page_number"], "left")
     top = F.coalesce("height", F.lit(842.0))
     edge = F.coalesce((F.col("bbox.y1") <= 0.08 * top) | (F.col("bbox.y0") >= 0.93 * top), F.lit(False)).cast("int")
-    scanned = height.select("document_id", "block_id", F.coalesce("block_type", F.lit("UNKNOWN")).alias("kind"), "text", edge.alias("edge"), F.col("page_number").alias("page"))
+    scanned = height.select("document_id", "block_id", F.coalesce("block_type", F.lit("UNKNOWN")).alias("kind"), "text", edge.alias("edge"), F.col("page_number").alias("page"), "reading_order")
 
-    # lines that are a title or heading of their document, by strokes, however they end
-    form = F.col("form")
-    candidates = (
-        scanned.select("document_id", "block_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .where(F.length("line") > 3)
-        .select("document_id", "block_id", "pos", head_form(F.col("line")).alias("form"))
-        .select("document_id", "block_id", (F.col("pos") + 1).alias("line_no"), F.xxhash64(form).alias("h"))
-    )
-    heads = document_heads(blocks, documents).select("document_id", F.xxhash64("form").alias("h"))
-    known = write_table(
-        candidates.join(heads, ["document_id", "h"], "left_semi")
-        .groupBy("document_id", "block_id").agg(F.collect_set("line_no").alias("known")),
-        "heads",
-    )
-    marked = scanned.join(known, ["document_id", "block_id"], "left").select("document_id", "block_id", "kind", "text", "edge", "known", "page")
+    marks = write_table(line_marks(scanned, document_heads(blocks, documents), config), "marks")
+    marked = scanned.join(marks, ["document_id", "block_id"], "left").select("document_id", "block_id", "kind", "text", "edge", "marks", "page")
 
     # fitted on a bounded sample, chosen by hash
     chosen = scanned.orderBy(F.xxhash64("document_id", "block_id"), "text").limit(config.sample)
-    sample = chosen.join(known, ["document_id", "block_id"], "left").select("text", "kind", "edge", "known").collect()
-    model = LineModel.fit([observe(r.text.split("\n"), r.kind, r.edge, set(r.known or ())) for r in sample])
+    chosen = write_table(chosen.join(marks, ["document_id", "block_id"], "left"), "sample")
+    behind = scanned.select("document_id", "page", F.col("reading_order").alias("place"), F.col("text").alias("next"))
+    follower = (
+        chosen.select("document_id", "block_id", "page", "reading_order").join(behind, ["document_id", "page"]).where("place > reading_order")
+        .groupBy("document_id", "block_id").agg(F.min_by(F.substring("next", 1, 40), F.struct("place", "next")).alias("follower"))
+    )
+    sequences = []
+    for r in chosen.join(follower, ["document_id", "block_id"], "left").select("text", "kind", "edge", "marks", "page", "follower").collect():
+        lines = r.text.split("\n")
+        labels = evident(lines, r.kind, _marked(r.marks, KNOWN), _marked(r.marks, PAGED), r.page, r.follower)
+        sequences.append((observe(lines, r.kind, r.edge, _marked(r.marks, AGAIN)), labels))
+    model = LineModel.fit(sequences, config.gain)
 
     lexicon = write_table(known_words(blocks, config), "lexicon")
     frequent = frozenset(r.word for r in lexicon.orderBy(F.desc("n"), "word").limit(config.frequent).select("word").collect())
@@ -367,6 +460,8 @@ def _cased(good: str, bad: str) -> str:
 
 
 def _repair(model: LineModel):
+    """For mapInArrow over labelled blocks with their fixes: the paragraphs of each, and whether the last goes on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts, labels = _labelled(pa.RecordBatch.from_arrays(batch.columns[:7], names=list("abcdefg")), model)
@@ -375,34 +470,52 @@ def _repair(model: LineModel):
             for r, lines, label, b, g, k in zip(rows, texts, labels, bad, good, keep):
                 fix = dict(zip(b or (), g or ()))
                 lines, label = rejoined(lines, label, frozenset(k or ()))
-                furniture = (FOLIO,) if r[2] in ("TITLE", "HEADING") else (HEADER, FOLIO)
-                parts = [x.strip() for x, y in zip(lines, label) if y not in furniture and x.strip()]
-                text = " ".join(parts)
-                if fix:
-                    text = _TOKEN.sub(lambda m: _cased(fix[w], m[0]) if (w := m[0].lower()) in fix else m[0], text)
-                out.append((r[0], r[1], re.sub(r"\s+", " ", text)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], ["document_id", "block_id", "text"])
+                pieces, closed = [], True
+                for x, y in zip(lines, label):
+                    if y in (HEADER, FOLIO) or not x.strip():
+                        closed = closed or (y == BREAK and not x.strip())
+                        continue
+                    if closed:
+                        pieces.append([])
+                    pieces[-1].append(x.strip())
+                    closed = y == BREAK
+                done = []
+                for piece in pieces:
+                    text = " ".join(piece)
+                    if fix:
+                        text = _TOKEN.sub(lambda m: _cased(fix[w], m[0]) if (w := m[0].lower()) in fix else m[0], text)
+                    done.append(re.sub(r"\s+", " ", text))
+                out.append((r[0], r[1], done, not closed))
+            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["document_id", "block_id", "pieces", "open"])
 
     return run
 
 
-def repaired_blocks(scans: Scans) -> DataFrame:
-    """(document_id, block_id, text) of each scanned block: heads and folios removed, words rejoined and corrected, on one line."""
+def repaired_pieces(scans: Scans) -> DataFrame:
+    """(document_id, block_id, pieces, open) of each scanned block: its paragraphs, without heads and folios and with words rejoined and corrected, and whether the last isn't ended."""
     fix = scans.fixes.groupBy("document_id", "block_id").agg(F.collect_set(F.struct("bad", "good")).alias("fix"))
     keep = scans.compounds.groupBy("document_id", "block_id").agg(F.collect_set("compound").alias("keep"))
     ready = (
         scans.blocks.join(fix, ["document_id", "block_id"], "left").join(keep, ["document_id", "block_id"], "left")
-        .select("document_id", "block_id", "kind", "text", "edge", "known", "page", F.col("fix.bad").alias("bad"), F.col("fix.good").alias("good"), "keep")
+        .select("document_id", "block_id", "kind", "text", "edge", "marks", "page", F.col("fix.bad").alias("bad"), F.col("fix.good").alias("good"), "keep")
     )
-    return ready.mapInArrow(_repair(scans.model), "document_id string, block_id string, text string").dropDuplicates(["document_id", "block_id"])
+    return ready.mapInArrow(_repair(scans.model), "document_id string, block_id string, pieces array<string>, open boolean").dropDuplicates(["document_id", "block_id"])
+
+
+def repaired_blocks(scans: Scans) -> DataFrame:
+    """(document_id, block_id, text) of each scanned block, repaired, on one line."""
+    return repaired_pieces(scans).select("document_id", "block_id", F.array_join("pieces", " ").alias("text"))
 
 
-def paragraphs(scans: Scans, blocks: DataFrame) -> DataFrame:
-    """Continuous paragraphs of the scanned text: document_id, paragraph_no, first_page, last_page, block_ids, text.
+def paragraphs(scans: Scans, blocks: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """Continuous paragraphs of the scanned text: document_id, paragraph_no, part_no, first_page, last_page, block_ids, text.
 
-    A body block that ends without closing punctuation goes on in the next body block of the document
-    that begins in lower case, over page ends and the furniture between. Empty blocks and furniture
-    types are left out; titles and headings stand alone. Of repeated rows of a block one is used.
+    A line labelled as a break ends a paragraph. One that isn't ended with its block goes on in the next
+    body block of the document that begins in lower case, over page ends and the furniture between. Empty
+    blocks and furniture types are left out; titles and headings stand alone. Of repeated rows of a block
+    one is used. A paragraph over very many pages is given in parts of part_pages pages, so no row holds an
+    unbounded text; order within a document is followed without a task that holds all of it.
     """
     place = (
         blocks.where(F.col("extraction_method") == "OCR")
@@ -410,21 +523,25 @@ def paragraphs(scans: Scans, blocks: DataFrame) -> DataFrame:
         .select("document_id", "block_id", "p.*")
     )
     body = (
-        repaired_blocks(scans).join(place, ["document_id", "block_id"])
-        .where((F.length("text") > 0) & ~F.coalesce(F.col("block_type").isin("HEADER", "FOOTER", "PAGE_NUMBER"), F.lit(False)))
+        repaired_pieces(scans).where(F.size("pieces") > 0).join(place, ["document_id", "block_id"])
+        .where(~F.coalesce(F.col("block_type").isin("HEADER", "FOOTER", "PAGE_NUMBER"), F.lit(False)))
+        .withColumn("alone", F.coalesce(F.col("block_type").isin("TITLE", "HEADING", "LIST", "TABLE", "CAPTION", "FIGURE"), F.lit(False)))
+        .select("document_id", "page_number", "reading_order", "block_id", "alone", "pieces", (F.col("open") & ~F.col("alone")).alias("open"))
     )
-    order = Window.partitionBy("document_id").orderBy("page_number", "reading_order", "block_id")
-    alone = F.coalesce(F.col("block_type").isin("TITLE", "HEADING", "LIST", "TABLE", "CAPTION", "FIGURE"), F.lit(False))
-    opened = ~F.col("text").rlike(r"[.!?:;…][\"'”’»)\]]*$") & ~alone
-    goes_on = F.col("text").rlike(r"^\p{Ll}") & ~alone & F.coalesce(F.lag(opened).over(order), F.lit(False))
+    order = ["page_number", "reading_order", "block_id"]
+    body = running(body, ["document_id"], order, {"open_before": ("lag", F.col("open"))})
+    goes_on = F.coalesce("open_before", F.lit(False)) & ~F.col("alone") & F.get("pieces", F.lit(0)).rlike(r"^\p{Ll}")
+    begun = F.size("pieces") - goes_on.cast("int")  # paragraphs that begin in the block
+    body = running(body.withColumn("goes_on", goes_on), ["document_id"], order, {"n": ("sum", begun)})
+    first = F.col("n") - F.size("pieces") + 1
+    pieces = body.select("document_id", "page_number", "reading_order", "block_id", first.alias("first"), F.posexplode("pieces").alias("k", "text"))
     return (
-        body.withColumn("new", (~goes_on).cast("int"))
-        .withColumn("paragraph_no", F.sum("new").over(order))
-        .groupBy("document_id", "paragraph_no")
+        pieces.withColumn("paragraph_no", F.col("first") + F.col("k"))
+        .groupBy("document_id", "paragraph_no", F.floor(F.col("page_number") / config.part_pages).alias("part_no"))
         .agg(
             F.min("page_number").alias("first_page"),
             F.max("page_number").alias("last_page"),
             F.array_sort(F.collect_list(F.struct("page_number", "reading_order", "block_id", "text"))).alias("x"),
         )
-        .select("document_id", "paragraph_no", "first_page", "last_page", F.col("x.block_id").alias("block_ids"), F.array_join("x.text", " ").alias("text"))
+        .select("document_id", "paragraph_no", "part_no", "first_page", "last_page", F.col("x.block_id").alias("block_ids"), F.array_join("x.text", " ").alias("text"))
     )

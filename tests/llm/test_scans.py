@@ -1,6 +1,7 @@
 import numpy as np
 
-from quire.llm.scans import BODY, FOLIO, HEADER, LineModel, ScanConfig, divisions, observe, paragraphs, repaired_blocks, scan_damage
+from quire.llm import scans
+from quire.llm.scans import BODY, BREAK, FOLIO, HEADER, LineModel, ScanConfig, divisions, evident, observe, paragraphs, repaired_blocks, scan_damage
 
 BLOCKS = (
     "document_id string, page_number int, block_id string, block_type string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, "
@@ -83,20 +84,52 @@ def test_empty_tables(spark):
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(0)
     lines = [["one line of body text", "12", "and more of it."], ["3", "text goes on here"]]
-    model = LineModel.fit([observe(x, "PARAGRAPH", 0, set()) for x in lines * 5])
-    seq = [tuple(int(rng.integers(s)) for s in (4, 3, 3, 2, 3, 3, 2)) for _ in range(4)]
+    model = LineModel.fit([(observe(x, "PARAGRAPH", 0, set()), evident(x, "PARAGRAPH", set(), set(), None, None)) for x in lines * 5], gain=7.0)
+    seq = [tuple(int(rng.integers(s)) for s in scans._SIZES) for _ in range(4)]
 
     def score(path):
         total = model.start[path[0]]
         for i, state in enumerate(path):
-            total += sum(t[state, v] for t, v in zip(model.emit, seq[i])) + (model.move[path[i - 1], state] if i else 0)
+            total += model.bias[state] + sum(t[state, v] for t, v in zip(model.emit, seq[i])) + (model.move[path[i - 1], state] if i else 0)
         return total
 
-    best = max(np.ndindex(4, 4, 4, 4), key=score)
-    assert abs(score(best) - score(model.label([seq])[0])) < 1e-9
+    paths = sorted(np.ndindex(4, 4, 4, 4), key=score)
+    assert abs(score(paths[-1]) - score(model.label([seq])[0])) < 1e-9
+    first = paths[-1][0]
+    allowed = max((p for p in paths if p[0] != first), key=score)
+    assert abs(score(allowed) - score(model.label([seq], [[(0, first)]])[0])) < 1e-9
     assert model.label([[]]) == [[]]
 
 
+def test_evidence_is_not_observed():
+    text = ["The garden explains", "Silver Lanterns", "the harbour."]
+    assert evident(text, "PARAGRAPH", {2}, set(), 1, "And then") == [BODY, HEADER, BREAK]
+    assert evident(text, "PARAGRAPH", set(), set(), 1, "and then") == [BODY, BODY, BODY]
+    # the features of a line don't tell whether it is a head of the document, nor what comes next
+    assert observe(text, "PARAGRAPH", 0, set()) == observe(list(text), "PARAGRAPH", 0, set())
+
+
+def test_labels_decide(spark, monkeypatch):
+    """Without the line model no head or folio is found, nothing is broken into paragraphs, and not every known line is a head."""
+    more = [block("d", 50 + i, f"{NATIVE}\nthe garden explains it all.\nA new one begins with the attic\nand the lantern.", page=4 + i) for i in range(3)]
+    block_rows = rows() + more
+    found, kinds = damage_of(spark, block_rows)
+    made = [r.text for r in paragraphs(found, spark.createDataFrame(block_rows, BLOCKS)).where("document_id = 'd'").collect()]
+    assert any(t.startswith("A new one begins") for t in made)
+    flat = lambda self, sequences, never=None: [[BODY] * len(x) for x in sequences]
+    monkeypatch.setattr(LineModel, "label", flat)
+    found, without = damage_of(spark, block_rows)
+    assert not any(k & {"header", "folio"} for k in without.values()) and any(k & {"header", "folio"} for k in kinds.values())
+    plain = [r.text for r in paragraphs(found, spark.createDataFrame(block_rows, BLOCKS)).where("document_id = 'd'").collect()]
+    assert not any(t.startswith("A new one begins") for t in plain) and len(plain) != len(made)
+
+
+def test_offset_of_printed_numbers(spark):
+    own = [block("o", i, f"The quiet harbour explains\n{100 + i}\nthe garden.", page=i) for i in range(1, 6)] + [block("o", 9, "The quiet harbour explains\n777\nthe garden.", page=9)]
+    _, kinds = damage_of(spark, [*rows(), *own])
+    assert all("folio" in kinds[("o", f"p{i:04d}-o{i:03d}")] for i in range(1, 6)) and ("o", "p0009-o009") not in kinds
+
+
 def test_divisions_skip_intruders():
     lines = ["a divi-", "7", "ded word", "year 1890-", "95 and", "THR-", "ESHOLD here"]
     got = [(i, j, a + b) for i, j, _, a, b in divisions(lines, [BODY, FOLIO, BODY, BODY, BODY, BODY, BODY])]
