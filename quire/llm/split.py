@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_tokens
+from ..plans.lineage import write_table
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _STOP = re.compile(r"[.!?…]")
@@ -187,7 +188,7 @@ def split_oversized(
     Items that fit stay whole and never leave the JVM; only oversized texts go to Python, a batch at a
     time. The result has the id and the columns of PIECES; other columns of `items` are not carried, so
     none can clash. Repeated rows of one id count once (of differing texts the greatest is kept). A null
-    or blank text gives one piece with 0 tokens and an empty text; a null id is kept as its own item.
+    or blank text gives one piece with 0 tokens and an empty text; rows without an id are one item.
     A text without any natural boundary is cut after the last token that fits. lengths_col may give the
     characters of each source block; it is needed only where block texts hold empty lines themselves.
     """
@@ -197,7 +198,12 @@ def split_oversized(
         (F.col(blocks_col) if blocks_col else F.lit(None)).cast("array<string>").alias("ids"),
         (F.col(lengths_col) if lengths_col else F.lit(None)).cast("array<int>").alias("lengths"),
     ]
-    base = items.select(*cols).withColumn("source_tokens", count_tokens(F.col("text")))
+    rows = items.select(*cols)
+    # one row an id before anything else; texts are shuffled only where an id is repeated
+    repeated = write_table(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("again")), "repeated")
+    same = rows["id"].eqNullSafe(repeated["again"])
+    one = rows.join(repeated, same, "left_semi").groupBy("id").agg(F.max(F.struct("text", "ids", "lengths")).alias("x")).select("id", "x.*")
+    base = rows.join(repeated, same, "left_anti").unionByName(one).withColumn("source_tokens", count_tokens(F.col("text")))
     kind = dict(items.dtypes)[id_col]
 
     whole = (
@@ -226,14 +232,5 @@ def split_oversized(
                 rows.extend((key, *row) for row in pieces_of(text, blocks, sizes, config))
             yield pd.DataFrame(rows, columns=names)
 
-    # one row an id before the segmentation, so that a repeated item is cut once
-    over = (
-        base.where(F.col("source_tokens") > config.limit)
-        .groupBy("id")
-        .agg(F.max(F.struct("text", "ids", "lengths")).alias("x"))
-        .select("id", "x.*")
-        .mapInPandas(split, schema=f"id {kind}, {PIECES}")
-    )
-    both = whole.unionByName(over)
-    # an id whose repeated rows differ in size keeps the larger text's pieces only
-    return both.dropDuplicates(["id", "piece_no", "source_tokens"]).withColumnRenamed("id", id_col)
+    over = base.where(F.col("source_tokens") > config.limit).select("id", "text", "ids", "lengths").mapInPandas(split, schema=f"id {kind}, {PIECES}")
+    return whole.unionByName(over).withColumnRenamed("id", id_col)

@@ -88,3 +88,13 @@ def test_operator_on_dirty_rows(spark):
 def test_bad_sizes():
     with pytest.raises(ValueError):
         SplitConfig(limit=50, overlap=30)
+
+
+def test_a_repeated_id_is_one_item(spark):
+    short, long = "A few words here.", " ".join(f"word{i} and more." for i in range(200))
+    rows = [("a", short, ["x"]), ("a", long, ["y"]), ("a", short, ["x"]), ("b", short, ["x"]), (None, short, None), (None, long, None)]
+    out = split_oversized(spark.createDataFrame(rows, "chunk_id string, text string, source_block_ids array<string>")).collect()
+    of = lambda key: {(r.source_tokens, r.n_pieces) for r in out if r.chunk_id == key}
+    assert len(of("a")) == len(of("b")) == len(of(None)) == 1
+    # the greatest of differing texts is kept
+    assert next(iter(of("a")))[1] > 1 and len([r for r in out if r.chunk_id == "a"]) == next(iter(of("a")))[1]
