@@ -14,14 +14,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.bounded import broadcast_if_small
 from ..plans.lineage import write_table
 
 
 @dataclass(frozen=True)
 class RepeatConfig:
-    """A line is repeated with at least min_chars characters, in min_docs documents and 1/min_share of the source's."""
+    """A line is repeated with at least min_chars characters, in min_docs documents and 1/min_share of the source's.
+
+    max_broadcast: sources whose document counts are sent to all tasks; more are joined by key.
+    """
 
     min_chars: int = 25
+    max_broadcast: int = 100_000
     min_docs: int = 5
     min_share: int = 125
 
@@ -76,7 +81,7 @@ def repeated_lines(blocks: DataFrame, documents: DataFrame, config: RepeatConfig
     counted = united.groupBy("section", "k1", "k2").agg(F.sum(F.bit_count("word")).alias("n_with"))
     hot = (
         counted.where(F.col("n_with") >= config.min_docs)
-        .join(F.broadcast(totals), "section")  # one row a source
+        .join(broadcast_if_small(totals, config.max_broadcast), "section")
         .where(F.col("n_with") * config.min_share >= F.col("n_docs"))
     )
     bitmaps = write_table(united.join(hot, ["section", "k1", "k2"]), "bitmaps")
