@@ -2,6 +2,7 @@
 
 Method: a BM25 inverted index of the test items with block-max WAND; every passage of every training text
 is a query, and all items whose score reaches their threshold are retrieved and verified word by word.
+Passages consist of words that the index knows, as no run of an item holds another.
 
 The thresholds lose nothing: an item's threshold is the least score that any run of `run` of its words
 reaches by itself, so a passage that holds such a run scores at least as much. Scores are divided by the
@@ -193,34 +194,46 @@ def hash_runs(w: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def _passages(offsets: np.ndarray, config: LeakConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, begin and end of each passage; together they hold every run of a row in one piece."""
+def _stretches(index: dict[str, np.ndarray], flat: np.ndarray, offsets: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the stretches of at least `run` words that are all in the index; no run of an item lies elsewhere."""
+    terms = index["terms"]
+    known = terms[np.minimum(np.searchsorted(terms, flat), len(terms) - 1)] == flat
+    edge = np.zeros(len(flat) + 1, bool)
+    edge[offsets] = True
+    begin = np.flatnonzero(known & (edge[:-1] | ~np.concatenate(([False], known[:-1]))))
+    end = np.flatnonzero(known & (edge[1:] | ~np.concatenate((known[1:], [False])))) + 1
+    long = end - begin >= run
+    begin, end = begin[long], end[long]
+    return np.searchsorted(offsets, begin, "right") - 1, begin, end
+
+
+def _passages(begin: np.ndarray, end: np.ndarray, config: LeakConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch, begin and end of each passage; together they hold every run of a stretch in one piece."""
     step = config.passage - config.run + 1
-    size = np.diff(offsets)
-    number = np.where(size >= config.run, 1 + np.maximum(0, -(-(size - config.passage) // step)), 0)
-    row = np.repeat(np.arange(len(size)), number)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-    begin = offsets[:-1][row] + k * step
-    return row, begin, np.minimum(begin + config.passage, offsets[1:][row])
+    number = 1 + np.maximum(0, -(-(end - begin - config.passage) // step))
+    of = np.repeat(np.arange(len(begin)), number)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
+    first = begin[of] + k * step
+    return of, first, np.minimum(first + config.passage, end[of])
 
 
-def _verified(index: dict[str, np.ndarray], flat: np.ndarray, offsets: np.ndarray, row: np.ndarray, passage: np.ndarray, item: np.ndarray, config: LeakConfig) -> list[tuple[int, int, int]]:
-    """(row, item, hash of the shared run) of the retrieved pairs whose passage holds a run of the item."""
+def _verified(index: dict[str, np.ndarray], flat: np.ndarray, begin: np.ndarray, end: np.ndarray, of: np.ndarray, passage: np.ndarray, item: np.ndarray, config: LeakConfig) -> list[tuple[int, int, int]]:
+    """(stretch, item, hash of the shared run) of the retrieved pairs whose passage holds a run of the item."""
     if not len(passage):
         return []
     own = hash_runs(flat, config.run)
     low, high = np.searchsorted(index["run_hash"], own, "left"), np.searchsorted(index["run_hash"], own, "right")
     at = np.flatnonzero(high > low)
-    # the row of each place, and the passage of that row that holds the run from there
-    home = np.searchsorted(offsets, at, "right") - 1
-    at, home = (x[at + config.run <= offsets[home + 1]] for x in (at, home))
-    first = np.searchsorted(row, home)
-    of = first + (at - offsets[home]) // (config.passage - config.run + 1)
+    # the stretch of each place, and the passage of that stretch that holds the run from there
+    home = np.searchsorted(begin, at, "right") - 1
+    inside = (home >= 0) & (at + config.run <= end[home])
+    at, home = at[inside], home[inside]
+    holder = np.searchsorted(of, home) + (at - begin[home]) // (config.passage - config.run + 1)
     which, _ = _ragged(low[at], high[at])
     times = high[at] - low[at]
     number = index["run_item"][which]
     n = int(index["n"])
-    known = np.isin(np.repeat(of, times) * n + number, passage * n + item)
+    known = np.isin(np.repeat(holder, times) * n + number, passage * n + item)
     return list(zip(np.repeat(home, times)[known].tolist(), number[known].tolist(), np.repeat(own[at], times)[known].tolist()))
 
 
@@ -289,13 +302,14 @@ def _search(spark, rows: list[Row], n_items: int, mean_length: float, config: Le
             flat = column.values.to_numpy()
             flat = flat[offsets[0] : offsets[-1]]
             offsets = offsets - offsets[0]
-            row, begin, end = _passages(offsets, config)
+            rows, first, last = _stretches(index, flat, offsets, config.run)
+            of, begin, end = _passages(first, last, config)
             found = [retrieve(index, flat, begin[k : k + SLICE], end[k : k + SLICE], config) for k in range(0, len(begin), SLICE)]
             passage = np.concatenate([p + k * SLICE for k, (p, _) in enumerate(found)] or [np.empty(0, np.int64)])
             item = np.concatenate([i for _, i in found] or [np.empty(0, np.int64)])
             runs: dict[tuple[int, int], set[int]] = {}
-            for r, i, h in _verified(index, flat, offsets, row, passage, item, config):
-                runs.setdefault((r, i), set()).add(h)
+            for k, i, h in _verified(index, flat, first, last, of, passage, item, config):
+                runs.setdefault((int(rows[k]), i), set()).add(h)
             keys = sorted(runs)
             shares = []
             for r, i in keys:
