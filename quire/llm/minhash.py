@@ -94,8 +94,17 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def banding(config: BandConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (tid long, grams array<int>): (tid, size, sketch, keys); empty sets give no row."""
+def parities(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 classes of elements: whether a set holds an odd number of them. Two sets differ in at least as many elements as bits."""
+    x = _mix64(flat.astype(np.uint32).astype(np.uint64)) & np.uint64(63)
+    return np.bitwise_xor.reduceat(np.uint64(1) << x, starts).view(np.int64)
+
+
+def banding(config: BandConfig, small: int, large: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (tid long, grams array<int>): (tid, size, sketch, parity, keys); empty sets give no row.
+
+    Sets of up to `small` elements have a parity, sets of at least `large` a sketch; else these are 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = config.rows * config.bands
@@ -107,15 +116,18 @@ def banding(config: BandConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 continue
             base = offsets[0]
             flat = grams.values.to_numpy()[base : offsets[-1]]
-            signature = signatures(flat, offsets[:-1][full] - base, n + 64)
+            starts, size = offsets[:-1][full] - base, np.diff(offsets)[full]
+            signature = signatures(flat, starts, n + 64)
             keys = band_keys(signature[:, :n], config)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, config.bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(np.diff(offsets)[full].astype(np.int32)), pa.array(sketches(signature[:, n:])), lists], ["tid", "size", "sketch", "keys"])
+            sketch = np.where(size >= large, sketches(signature[:, n:]), 0)
+            parity = np.where(size <= small, parities(flat, starts), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(size.astype(np.int32)), pa.array(sketch), pa.array(parity), lists], ["tid", "size", "sketch", "parity", "keys"])
 
     return run
 
 
-BANDED = "tid long, size int, sketch long, keys array<long>"
+BANDED = "tid long, size int, sketch long, parity long, keys array<long>"
 
 
 def lead_banding(config: BandConfig, least: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -201,23 +213,3 @@ def shingling(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 SHINGLED = "tid long, grams array<int>"
-
-
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once a row however often `use` refers to it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def shingle_set(words: Column, width: int, kind: Column | None = None) -> Column:
-    """Distinct 32-bit hashes of the runs of `width` adjacent words; fewer words give an empty set.
-
-    With `kind`, sets of different kinds share no hashes and never meet in a band.
-    """
-    salt = [] if kind is None else [kind]
-
-    def sets(w: Column) -> Column:
-        last = F.size(w) - (width - 1)
-        run = lambda x, i: F.hash(x, *[F.element_at(w, i + k + 1) for k in range(1, width)], *salt)
-        return F.when(last > 0, F.array_distinct(F.transform(F.slice(w, 1, F.greatest(last, F.lit(1))), run))).otherwise(F.array().cast("array<int>"))
-
-    return bound(words, sets)
