@@ -84,10 +84,12 @@ _STROKE_TABLE = str.maketrans(STROKES)
 
 def head_form(line: Column) -> Column:
     """Strokes of the letters and digits of a line, single blanks between, without a page number at either end."""
-    numeral = rf"(?:\p{{Nd}}{{1,5}}|{ROMAN})"
-    numbered = rf"^[^\p{{L}}\p{{N}}]*{numeral}(?=[^\p{{L}}\p{{N}}+])|(?<=[^\p{{L}}\p{{N}}+]){numeral}[^\p{{L}}\p{{N}}]*$"
-    bare = F.regexp_replace(F.lower(line), numbered, "")
-    return strokes(F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}+]+", " ")))
+    numeral = rf"^(?:\p{{Nd}}{{1,5}}|{ROMAN})$"
+    bare = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}+]+", " "))
+    first = F.substring_index(bare, " ", 1)
+    bare = F.when((first != bare) & first.rlike(numeral), F.substring(bare, F.length(first) + 2, F.length(bare))).otherwise(bare)
+    last = F.substring_index(bare, " ", -1)
+    return strokes(F.when((last != bare) & last.rlike(numeral), F.left(bare, F.length(bare) - F.length(last) - 1)).otherwise(bare))
 
 
 def document_heads(blocks: DataFrame, documents: DataFrame) -> DataFrame:
