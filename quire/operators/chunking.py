@@ -1,6 +1,7 @@
 """Packing the blocks of a document into chunks of a target size, with provenance and overlap.
 
-Packing carries state from block to block, so each document is one group; text order is reading order.
+Packing carries state from block to block within a section, and begins anew at each heading; sections are
+packed in parallel, so a long document is many groups. Text order is reading order.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import spread
+from ..plans.ordered import running
 from .structure import ANCHORS, FURNITURE
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -21,7 +23,10 @@ _SENTENCE = re.compile(r"(?<=[.!?:;”’])\s+")
 
 @dataclass(frozen=True)
 class ChunkConfig:
-    """Sizes in tokens: a chunk is closed at `target`, never passes `most`, and starts with `overlap` of the last."""
+    """Sizes in tokens: a chunk is closed at `target`, never passes `most`, heading and overlap included, and starts with `overlap` of the last.
+
+    A chunk whose own text is below `least` is closed by a heading only, never for want of room for its overlap.
+    """
 
     target: int = 220
     most: int = 300
@@ -62,46 +67,71 @@ def _windows(text: str, size: int, overlap: int) -> list[str]:
 
 
 def pack(blocks: list[tuple[str, str, int, str]], config: ChunkConfig) -> list[tuple[str, list[str], list[int], str | None]]:
-    """(text, block ids, pages, heading) of the chunks of one document; blocks are (id, type, page, text) in order.
+    """(text, block ids, pages, heading) of the chunks of consecutive sections; blocks are (id, type, page, text) in order.
 
-    A heading opens its section's first chunk; a heading without content stands before the next content.
-    An oversized block is cut into windows of its own.
+    Headings open the first chunk of their section and are no chunk of their own while content follows
+    that fits beside a part of it. An oversized block is cut into windows, the first of which holds the open
+    heading. The overlap gives way, whole, where it would take a chunk over `most`.
     """
     out: list[tuple[str, list[str], list[int], str | None]] = []
     held: list[tuple[str, int, str]] = []
-    size, tail, heading = 0, "", None
+    size, tail, heading, bare = 0, "", None, True  # bare: only headings are held
+    count = lambda text: len(_TOKEN.findall(text))
 
     def flush() -> None:
-        nonlocal held, size, tail
+        nonlocal held, size, tail, bare
         if not held:
             return
         body = "\n\n".join(t for _, _, t in held)
-        out.append((f"{tail}\n\n{body}" if tail else body, [b for b, _, _ in held], sorted({p for _, p, _ in held}), heading))
-        tail = tail_overlap(body, config.overlap) if config.overlap else ""
-        held, size = [], 0
+        room = config.most - size
+        lead = tail if tail and count(tail) <= room else ""
+        out.append((f"{lead}\n\n{body}" if lead else body, [b for b, _, _ in held], sorted({p for _, p, _ in held}), heading))
+        tail = tail_overlap(body, config.overlap) if config.overlap and not bare else ""
+        held, size, bare = [], 0, True
+
+    def cut(block: str, page: int, text: str) -> None:
+        """Windows of an oversized block, the first beside the headings that are held."""
+        nonlocal held, size, bare, tail
+        opened = "\n\n".join(t for _, _, t in held)
+        room = config.most - size
+        if not held or room < config.least:
+            flush()
+            room, opened = config.most, ""
+        first = _windows(text, room, 0)[0] if opened else ""
+        if first:
+            out.append((f"{opened}\n\n{first}", [*(b for b, _, _ in held), block], sorted({page, *(p for _, p, _ in held)}), heading))
+            rest = text[text.index(first) + len(first) :]
+            lead = tail_overlap(first, config.overlap) if config.overlap else ""
+            text = f"{lead} {rest.strip()}" if rest.strip() else ""
+            held, size, bare = [], 0, True
+        for window in _windows(text, config.most, config.overlap):
+            out.append((window, [block], [page], heading))
+        tail = tail_overlap(text or first, config.overlap) if config.overlap else ""
 
-    opening = False
     for block, kind, page, text in blocks:
-        n = len(_TOKEN.findall(text))
+        n = count(text)
         if kind in ANCHORS:
-            if not opening:
+            if not bare:
                 flush()
                 tail = ""
-            heading, opening = " ".join(text.split()), True
+            if size + n > config.most:
+                flush()
+            heading = " ".join(text.split())
             held.append((block, page, text))
             size += n
             continue
-        opening = False
         if n > config.most:
-            flush()
-            for window in _windows(text, config.most, config.overlap):
-                out.append((window, [block], [page], heading))
-            tail = tail_overlap(text, config.overlap) if config.overlap else ""
+            if not bare:
+                flush()
+            cut(block, page, text)
             continue
-        if held and size + n + len(_TOKEN.findall(tail)) > config.most:
+        if not bare and size + n > config.most:
             flush()
+        if bare and size + n > config.most:
+            cut(block, page, text)  # beside its headings the block doesn't fit
+            continue
         held.append((block, page, text))
-        size += n
+        size, bare = size + n, False
         if size >= config.target:
             flush()
     flush()
@@ -112,7 +142,7 @@ def chunk_blocks(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> Data
     """Chunks of every document: chunk_id, document_id, chunk_index, text, source_block_ids, page_numbers, heading, token_count, start_page, end_page.
 
     Furniture and blank blocks are left out; repeated rows of a block count once (the latest text by
-    order of text). Documents are packed in parallel, each by one task.
+    order of text). Sections are packed in parallel. A run of headings belongs to the section it opens.
     """
     content = (
         blocks.where(F.length(F.trim("text")) > 0)
@@ -121,17 +151,28 @@ def chunk_blocks(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> Data
         .where(~F.coalesce(F.col("block_type").isin(*FURNITURE), F.lit(False)))
     )
 
+    # a group begins with a heading that follows content; it begins without state
+    order = ["page_number", "reading_order", "block_id"]
+    anchor = F.coalesce(F.col("block_type").isin(*ANCHORS), F.lit(False))
+    content = running(content.where(F.col("document_id").isNotNull()), ["document_id"], order, {"__before": ("lag", anchor)})
+    opens = (anchor & ~F.coalesce("__before", F.lit(True))).cast("int")
+    ordered = running(content.withColumn("__opens", opens), ["document_id"], order, {"__group": ("sum", F.col("__opens"))})
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["page_number", "reading_order", "block_id"])
         rows = pack(list(zip(pdf["block_id"], pdf["block_type"].fillna("UNKNOWN"), pdf["page_number"].fillna(0).astype(int), pdf["text"].str.strip())), config)
-        doc = pdf["document_id"].iloc[0]
+        doc, group = pdf["document_id"].iloc[0], int(pdf["__group"].iloc[0])
         return pd.DataFrame(
-            [(f"{doc}-c{i:05d}", doc, i, t, b, p, h, len(_TOKEN.findall(t)), p[0], p[-1]) for i, (t, b, p, h) in enumerate(rows)],
-            columns=["chunk_id", "document_id", "chunk_index", "text", "source_block_ids", "page_numbers", "heading", "token_count", "start_page", "end_page"],
+            [(doc, group, i, t, b, p, h, len(_TOKEN.findall(t)), p[0], p[-1]) for i, (t, b, p, h) in enumerate(rows)],
+            columns=["document_id", "__group", "__i", "text", "source_block_ids", "page_numbers", "heading", "token_count", "start_page", "end_page"],
         )
 
     schema = (
-        "chunk_id string, document_id string, chunk_index int, text string, source_block_ids array<string>, "
+        "document_id string, __group long, __i int, text string, source_block_ids array<string>, "
         "page_numbers array<int>, heading string, token_count int, start_page int, end_page int"
     )
-    return spread(content.where(F.col("document_id").isNotNull()), "document_id").groupBy("document_id").applyInPandas(run, schema)
+    packed = spread(ordered, "document_id", "__group").groupBy("document_id", "__group").applyInPandas(run, schema)
+    numbered = running(packed, ["document_id"], ["__group", "__i"], {"chunk_index": ("sum", F.lit(1))}).withColumn("chunk_index", (F.col("chunk_index") - 1).cast("int"))
+    return numbered.select(
+        F.format_string("%s-c%05d", "document_id", "chunk_index").alias("chunk_id"), "document_id", "chunk_index", "text", "source_block_ids", "page_numbers", "heading", "token_count", "start_page", "end_page"
+    )

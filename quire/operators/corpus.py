@@ -11,11 +11,13 @@ from ..functions.text import one_line
 def corpus_report(documents: DataFrame) -> DataFrame:
     """Documents and pages by section, by status and in all, as one pass of grouping sets: level, key, n_documents, n_pages."""
     one = documents.groupBy("document_id").agg(F.max(F.struct("section", "index_status", "page_count")).alias("d")).select("d.*")
-    one.createOrReplaceTempView("quire_report")
-    return one.sparkSession.sql("""
-        SELECT CASE grouping_id(section, index_status) WHEN 1 THEN 'section' WHEN 2 THEN 'status' ELSE 'all' END AS level,
-               coalesce(section, index_status) AS key, count(*) AS n_documents, coalesce(sum(page_count), 0) AS n_pages
-        FROM quire_report GROUP BY GROUPING SETS ((section), (index_status), ())""")
+    section, status = F.col("section"), F.col("index_status")
+    level = F.grouping_id("section", "index_status")
+    sums = one.groupingSets([[section], [status], []], section, status).agg(
+        F.when(level == 1, "section").when(level == 2, "status").otherwise("all").alias("level"),
+        F.count(F.lit(1)).alias("n_documents"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("n_pages"),
+    )
+    return sums.select("level", F.coalesce("section", "index_status").alias("key"), "n_documents", "n_pages")
 
 
 def block_diagnostics(blocks: DataFrame) -> DataFrame:
@@ -41,12 +43,14 @@ def record_hash(key: Column, text: Column) -> Column:
 
 
 def fingerprints(records: DataFrame, group: str, key: str, text: str) -> DataFrame:
-    """(group, n, fingerprint): hash over the sorted record hashes of each group.
+    """(group, n, fingerprint) of each group's records, whatever their order.
 
-    Each record is hashed where it lies; a group then gathers 32 bytes a record, not its texts.
+    Each record is hashed where it lies; the first 48 bits of its SHA-256, the next and the next are summed,
+    with partial sums, and the sums are hashed. No group is gathered.
     """
     hashed = records.select(group, record_hash(F.col(key), F.col(text)).alias("h"))
-    return hashed.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("fingerprint"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 12 * i + 1, 12), 16, 10).cast("decimal(20,0)")).cast("string")
+    return hashed.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("-", *[part(i) for i in range(3)]), 256).alias("fingerprint"))
 
 
 def change_plan(before: DataFrame, now: DataFrame, key: str) -> DataFrame:

@@ -5,49 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.bounded import bounded_rows
+
 #: Cut-offs that are reported.
 KS = (1, 3, 5, 10)
 
 
-def metrics(ranked: DataFrame, labels: DataFrame, questions: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+def metrics(ranked: DataFrame, labels: DataFrame, questions: DataFrame, ks: tuple[int, ...] = KS, modes: tuple[str, ...] | None = None) -> DataFrame:
     """(mode, query_id, k, hit, recall, precision, ndcg, mrr, first_rank) for every mode, question and cut-off.
 
     Questions without labels score 0 everywhere; a question without results has 0 and a null first_rank.
-    A key that is ranked twice counts twice in ndcg, once in recall. Values are rounded to 6 digits.
+    A key that is ranked twice counts twice in ndcg, once in recall. Values are rounded to 6 digits. All
+    cut-offs are columns of one aggregation. modes are those of `ranked`, which is asked for them if None.
     """
     if min(ks) < 1:
         raise ValueError("cut-offs must be at least 1")
-    spark = ranked.sparkSession
-    cuts = F.broadcast(spark.createDataFrame([(k,) for k in ks], "k int"))  # one row a cut-off
-    marked = ranked.join(labels.select("query_id", "key").distinct().withColumn("relevant", F.lit(1)), ["query_id", "key"], "left")
+    if modes is None:
+        modes = tuple(sorted(r.mode for r in bounded_rows(ranked.select("mode").distinct(), 1000, "the set of modes")))
+    marked = ranked.join(labels.select("query_id", "key").distinct().withColumn("relevant", F.lit(True)), ["query_id", "key"], "left")
     total = labels.groupBy("query_id").agg(F.count_distinct("key").alias("n_relevant"))
-    hit = F.col("relevant").isNotNull()
-    within = F.col("rank") <= F.col("k")
-    sums = (
-        marked.crossJoin(cuts).groupBy("mode", "query_id", "k")
-        .agg(
-            F.max(F.when(hit & within, 1.0).otherwise(0.0)).alias("hit"),
-            F.count_distinct(F.when(hit & within, F.col("key"))).alias("n_found"),
-            F.count_if(within).alias("n_returned"),
-            F.count_if(hit & within).alias("n_hits"),
-            F.sum(F.when(hit & within, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
-            F.min(F.when(hit, F.col("rank"))).alias("first_rank"),
-        )
+    hit, gain = F.col("relevant").isNotNull(), 1 / F.log2(F.col("rank") + 1)
+    by_key = marked.groupBy("mode", "query_id", "key").agg(
+        F.min(F.when(hit, F.col("rank"))).alias("first"),
+        *[F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in ks],
+        *[F.sum(F.when(hit & (F.col("rank") <= k), gain)).alias(f"dcg{k}") for k in ks],
+    )
+    sums = by_key.groupBy("mode", "query_id").agg(
+        F.min("first").alias("first_rank"),
+        *[F.count_if(F.col("first") <= k).alias(f"found{k}") for k in ks],
+        *[F.sum(f"n{k}").alias(f"returned{k}") for k in ks],
+        *[F.sum(F.when(F.col("first").isNotNull(), F.col(f"n{k}"))).alias(f"hits{k}") for k in ks],
+        *[F.sum(f"dcg{k}").alias(f"dcg{k}") for k in ks],
     )
+    cut = lambda k: F.struct(F.lit(k).alias("k"), *[F.col(f"{name}{k}").alias(name) for name in ("found", "returned", "hits", "dcg")])
+    grid = questions.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, modes)) if modes else F.array().cast("array<string>")).alias("mode"))
     ideal = F.aggregate(
         F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.col("k").cast("long")).cast("int")),
         F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1),
     )
-    grid = ranked.select("mode").distinct().crossJoin(F.broadcast(questions.select("query_id").distinct())).crossJoin(cuts)
     none = F.coalesce("n_relevant", F.lit(0)) == 0
     r = lambda c: F.round(F.when(none, 0.0).otherwise(F.coalesce(c, F.lit(0.0))), 6)
     return (
-        grid.join(sums, ["mode", "query_id", "k"], "left").join(total, "query_id", "left")
+        grid.join(sums, ["mode", "query_id"], "left").join(total, "query_id", "left")
+        .select("mode", "query_id", "first_rank", "n_relevant", F.explode(F.array(*map(cut, ks))).alias("c"))
+        .select("mode", "query_id", "first_rank", "n_relevant", "c.*")
         .select(
             "mode", "query_id", "k",
-            r(F.col("hit")).alias("hit"),
-            r(F.col("n_found") / F.col("n_relevant")).alias("recall"),
-            r(F.col("n_hits") / F.greatest(F.lit(1), F.least(F.col("k").cast("long"), F.col("n_returned")))).alias("precision"),
+            r(F.when(F.col("found") > 0, 1.0)).alias("hit"),
+            r(F.col("found") / F.col("n_relevant")).alias("recall"),
+            r(F.col("hits") / F.greatest(F.lit(1), F.least(F.col("k").cast("long"), F.col("returned")))).alias("precision"),
             r(F.when(F.col("n_relevant") > 0, F.col("dcg") / ideal)).alias("ndcg"),
             r(1 / F.col("first_rank")).alias("mrr"),
             F.when(~none, F.col("first_rank")).alias("first_rank"),

@@ -6,13 +6,15 @@ folds over a corpus.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import overlap_coefficient
 from ..functions.text import SPACE, count_tokens, lex_tokens
+from ..plans.lineage import spread, write_table
 
 #: Fixed: a page number alone on a line, and the longest running head.
 FOLIO = r"(?i)^\s*[-—–|.]?\s*(\d{1,4}|[ivxlcdm]{1,7})\s*[-—–|.]*\s*$"
@@ -105,19 +107,55 @@ def ranked_candidates(candidates: DataFrame) -> DataFrame:
         order.alias("o"), "id", "document_id", F.coalesce("section_id", F.lit("none")).alias("section"),
         F.coalesce("source_block_ids", F.array().cast("array<string>")).alias("blocks"),
         F.coalesce("page_numbers", F.array().cast("array<int>")).alias("pages"),
-        F.array_distinct(lex_tokens(F.col("text"))).alias("words"), clean.alias("c"),
+        F.array_distinct(lex_tokens(F.col("text"))).alias("words"), F.col("c").alias("c"), count_tokens(F.col("c.clean")).alias("n"),
     )
-    return candidates.select("query_id", item.alias("x")).groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("pool"))
-
-
-def is_repeat(a: Column, b: Column, config: PackConfig) -> Column:
-    """Shared blocks, or shared words, or somewhat of both on a shared page."""
-    blocks, text = overlap_coefficient(a["blocks"], b["blocks"]), overlap_coefficient(a["words"], b["words"])
-    page = F.coalesce(F.arrays_overlap(a["pages"], b["pages"]), F.lit(False))
-    return (
-        ((blocks >= config.shared_blocks) & (F.size(a["blocks"]) > 0)) | ((text >= config.shared_text) & (F.size(a["words"]) > 0))
-        | (page & (blocks >= 0.6 * config.shared_blocks) & (text >= 0.6 * config.shared_text))
-    )
+    # texts are cleaned and counted once, in the stage that writes them
+    ready = write_table(spread(candidates.withColumn("c", clean), "query_id", "id").select("query_id", item.alias("x")), "candidates")
+    return ready.groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("pool"))
+
+
+def _overlap(a: set, b: set) -> float:
+    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
+
+
+def fates(pool: list[dict], config: PackConfig) -> list[str]:
+    """The fate of each candidate of one query, in order of rank; candidates have sets blocks, words and pages."""
+
+    def repeats(x: dict, k: dict) -> bool:
+        """Shared blocks, or shared words, or somewhat of both on a shared page."""
+        blocks, text = _overlap(x["blocks"], k["blocks"]), _overlap(x["words"], k["words"])
+        if (x["blocks"] and blocks >= config.shared_blocks) or (x["words"] and text >= config.shared_text):
+            return True
+        return bool(x["pages"] & k["pages"]) and blocks >= 0.6 * config.shared_blocks and text >= 0.6 * config.shared_text
+
+    kept, held, used, n, done = [], [], 0, 0, False
+    out = []
+    for x in pool:
+        if any(repeats(x, k) for k in kept):
+            out.append("duplicate")
+            continue
+        kept.append(x)
+        same = [k for k in held if k["document_id"] == x["document_id"] and x["document_id"] is not None]
+        region = lambda k: min(k["pages"]) // config.region_pages if k["pages"] else None
+        if len(same) >= config.per_document:
+            out.append("per_document")
+        elif sum(k["section"] == x["section"] for k in same) >= config.per_section:
+            out.append("per_section")
+        elif sum(region(k) == region(x) for k in same) >= config.per_region:
+            out.append("per_region")
+        else:
+            held.append(x)
+            if done or n >= config.max_items:
+                fate = "left_out"
+            elif x["n"] > config.max_tokens:
+                fate = "oversized"
+            else:
+                fate = "left_out" if used + x["n"] > config.max_tokens else "selected"
+            if fate == "selected":
+                used, n = used + x["n"], n + 1
+            done = done or fate == "left_out"
+            out.append(fate)
+    return out
 
 
 def evidence_packs(candidates: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
@@ -125,63 +163,27 @@ def evidence_packs(candidates: DataFrame, config: PackConfig = PackConfig()) ->
 
     fate is duplicate, per_document, per_section, per_region, oversized, selected or left_out. Candidates
     are taken greedily by rank: repeats of kept ones go first, then the caps, then the budget; an item that
-    alone exceeds the budget is passed over, the first that doesn't fit any more ends the pack.
+    alone exceeds the budget is passed over, the first that doesn't fit any more ends the pack. Pools are
+    folded in Arrow batches of queries; a pool is as long as the retrieval's depth.
     """
     pools = ranked_candidates(candidates)
-    empty = lambda t: F.array().cast(f"array<{t}>")
-    kept = F.aggregate(
-        "pool", F.slice("pool", 1, 0),
-        lambda s, x: F.when(F.exists(s, lambda k: is_repeat(x, k, config)), s).otherwise(F.concat(s, F.array(x))),
-    )
-    staged = pools.withColumn("kept", kept)
-    region = lambda x: F.floor(F.array_min(x["pages"]) / config.region_pages)
-    same = lambda s, test: F.size(F.filter(s, test))
-    cap = lambda s, x: (
-        F.when(same(s, lambda k: k["document_id"] == x["document_id"]) >= config.per_document, "per_document")
-        .when(same(s, lambda k: (k["document_id"] == x["document_id"]) & (k["section"] == x["section"])) >= config.per_section, "per_section")
-        .when(same(s, lambda k: (k["document_id"] == x["document_id"]) & region(k).eqNullSafe(region(x))) >= config.per_region, "per_region")
-    )
-    fate = F.struct("id", F.lit("").alias("fate"))
-    first = F.struct(F.slice("kept", 1, 0).alias("ok"), F.filter(F.array(F.struct(F.lit("").alias("id"), F.lit("").alias("fate"))), lambda _: F.lit(False)).alias("out"))
-    capped = F.aggregate(
-        "kept", first,
-        lambda s, x: F.element_at(F.transform(F.array(cap(s["ok"], x)), lambda c: F.struct(
-            F.when(c.isNull(), F.concat(s["ok"], F.array(x))).otherwise(s["ok"]).alias("ok"),
-            F.when(c.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), c.alias("fate"))))).alias("out"),
-        )), 1),
-    )
-    staged = staged.withColumn("capped", capped)
-    begin = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("done"), F.array().cast("array<struct<id:string,fate:string>>").alias("out"))
-
-    def spend(s: Column, x: Column) -> Column:
-        tokens = count_tokens(x["c"]["clean"])
-
-        def one(t: Column) -> Column:
-            what = (
-                F.when(s["done"] | (s["n"] >= config.max_items), "left_out")
-                .when(t > config.max_tokens, "oversized").when(s["used"] + t > config.max_tokens, "left_out").otherwise("selected")
-            )
-            took = what == "selected"
-            return F.struct(
-                (s["used"] + F.when(took, t).otherwise(0)).alias("used"),
-                (s["n"] + took.cast("int")).alias("n"),
-                (s["done"] | ((what == "left_out"))).alias("done"),
-                F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), what.alias("fate")))).alias("out"),
-            )
-
-        return F.element_at(F.transform(F.array(tokens), one), 1)
-
-    staged = staged.withColumn("spent", F.aggregate("capped.ok", begin, spend))
-    fates = F.map_from_entries(F.concat("capped.out", "spent.out"))
-    rows = staged.select("query_id", fates.alias("fates"), F.posexplode("pool").alias("pos", "x"))
-    chosen = rows.select(
-        "query_id", "x.id", (F.col("pos") + 1).alias("place"), F.coalesce(F.element_at("fates", F.col("x.id")), F.lit("duplicate")).alias("fate"),
-        count_tokens(F.col("x.c.clean")).alias("n_tokens"), F.col("x.c.clean").alias("clean"), F.col("x.c.removed").alias("removed"),
-    )
-    from pyspark.sql import Window
-
-    number = F.sum((F.col("fate") == "selected").cast("int")).over(Window.partitionBy("query_id").orderBy("place"))
-    return chosen.withColumn("evidence_id", F.when(F.col("fate") == "selected", F.concat(F.lit("S"), number)))
+    kind = dict(candidates.dtypes)["query_id"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for query, pool in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ready = [x | {name: {v for v in x[name] if v is not None} for name in ("blocks", "words", "pages")} for x in pool]
+                number = 0
+                for place, (x, fate) in enumerate(zip(pool, fates(ready, config)), 1):
+                    number += fate == "selected"
+                    for column, value in zip(out, (query, x["id"], place, fate, x["n"], x["c"]["clean"], x["c"]["removed"], f"S{number}" if fate == "selected" else None)):
+                        column.append(value)
+            types = (batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
+            names = ["query_id", "id", "place", "fate", "n_tokens", "clean", "removed", "evidence_id"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+
+    return pools.mapInArrow(fold, f"query_id {kind}, id string, place int, fate string, n_tokens int, clean string, removed int, evidence_id string")
 
 
 def render_packs(packs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,44 +43,113 @@ def postings(tokenised: DataFrame) -> DataFrame:
     return tokenised.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(queries: DataFrame, tokenised: DataFrame) -> DataFrame:
-    """(query_id, id, score) of all records that share a term with a query; repeated query terms count repeatedly."""
-    asked = (
-        queries.select("query_id", F.explode(lex_tokens(F.col("query"))).alias("term"))
-        .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    )
-    average = tokenised.agg(F.avg("dl").alias("avgdl"))
-    stats = term_statistics(tokenised)
-    weighted = asked.join(stats.select("term", "idf"), "term")
-    tf = F.col("tf")
-    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return (
-        postings(tokenised).join(weighted, "term").crossJoin(F.broadcast(average))  # one row
-        .groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("idf") * part).alias("score"))
-    )
-
-
 def top_k(scores: DataFrame, k: int, score: str = "score", digits: int = 6) -> DataFrame:
     """The k best rows of each query with rank; scores are rounded first, ties go to the smaller id."""
     best = Window.partitionBy("query_id").orderBy(F.desc(score), "id")
     return scores.withColumn(score, F.round(score, digits)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """lengths(chunks), written once; statistics and all queries read it from there."""
+    return write_table(spread(lengths(chunks), "id"), "tokens")
+
+
+class _Best:
+    """The k best (query, id) of each query that a task has met so far; ties go to the smaller id."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.parts, self.size, self.kept = k, [], 0, 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if len(query):
+            self.parts.append((query, ids, score))
+            self.size += len(query)
+            if self.size > 2 * self.kept + 100_000:
+                self.prune()
+
+    def prune(self) -> None:
+        query, ids, score = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+        rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+        keep = rank < self.k
+        self.parts = [(query[keep], ids[keep], score[keep])]
+        self.size = self.kept = int(keep.sum())
+
+    def batch(self, names: list, types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+        if self.parts:
+            self.prune()
+        query, ids, score = self.parts[0] if self.parts else (np.empty(0, int), np.empty(0, object), np.empty(0))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([names[i] for i in query.tolist()], types[0]), pa.array(ids.tolist(), types[1]), pa.array(score)], ["query_id", "id", "score"]
+        )
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int, tokens: DataFrame | None = None, max_terms: int = 5_000_000, block: int = 1024) -> DataFrame:
     """(query_id, id, score, rank) with positive scores only; blank queries have no hits.
 
-    The tokens are written once; document frequencies, lengths and postings are read from there.
+    The terms of the queries, at most max_terms over all, are held by every task as an inverted index of the
+    queries. Each record is scored where it is read, against all queries in blocks, and only a task's k best
+    a query are shuffled: no posting of the corpus is. Document frequencies are counted over all records
+    with partial sums. tokens, if given, are those of the chunks, as written by `tokenised`.
     """
-    tokenised = write_table(spread(lengths(chunks), "id"), "tokens")
-    return top_k(bm25_scores(queries, tokenised).where(F.round("score", 6) > 0), k)
+    tokens = tokenised(chunks) if tokens is None else tokens
+    asked = queries.select("query_id", F.explode(lex_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    weighted = asked.join(term_statistics(tokens).select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    rows = bounded_rows(weighted, max_terms, "the terms of the query set")
+    average = tokens.agg(F.avg("dl").alias("avgdl")).first().avgdl or 1.0
+    names = sorted({r.query_id for r in rows})
+    number = {q: i for i, q in enumerate(names)}
+    terms = sorted({r.term for r in rows})
+    at = {t: i for i, t in enumerate(terms)}
+    rows = sorted((at[r.term], number[r.query_id], r.w) for r in rows)
+    term_of, query_of, weight = (np.array(x) for x in zip(*rows)) if rows else (np.empty(0, int),) * 3
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(tokens.dtypes)["id"]}
+    shared = tokens.sparkSession.sparkContext.broadcast((names, terms, term_of, query_of, weight))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, term_of, query_of, weight = shared.value
+        known = pa.array(terms, pa.string())
+        parts = []  # the queries' terms by block of queries
+        for begin in range(0, len(names), block):
+            own = (query_of >= begin) & (query_of < begin + block)
+            parts.append((begin, np.searchsorted(term_of[own], np.arange(len(terms) + 1)), query_of[own] - begin, weight[own]))
+        best, id_type = _Best(k), pa.string()
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            column = batch.column(1)
+            offsets = column.offsets.to_numpy().astype(np.int64)
+            flat = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+            term = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.diff(offsets)
+            row = np.repeat(np.arange(len(size)), size)
+            hit = term >= 0
+            code, tf = np.unique(row[hit] * max(len(terms), 1) + term[hit], return_counts=True)
+            row, term = np.divmod(code, max(len(terms), 1))
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / average))
+            ids = np.array(batch.column(0).to_pylist())
+            for begin, first, query, w in parts:
+                times = first[term + 1] - first[term]
+                start = np.repeat(first[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                pair = query[start] * len(size) + np.repeat(row, times)
+                pairs, inverse = np.unique(pair, return_inverse=True)
+                score = np.round(np.bincount(inverse, w[start] * np.repeat(part, times), len(pairs)), 6)
+                good = score > 0
+                q, r = np.divmod(pairs[good], len(size))
+                best.add(q + begin, ids[r], score[good])
+        yield best.batch(names, (pa.array(names).type if names else pa.string(), id_type))
+
+    found = tokens.where(F.col("id").isNotNull()).select("id", "tokens").mapInArrow(search, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return top_k(found, k)
 
 
 def dense_topk(queries: DataFrame, items: DataFrame, k: int, max_queries: int = 100_000, block: int = 1024) -> DataFrame:
     """Exact cosine top-k of each query (query_id, embedding) over all items (id, embedding).
 
-    The queries, at most max_queries, are held by every task in blocks; each batch of items is scored as
-    one matrix product and only its k best a query leave the task. Items of another dimension raise; null
-    and zero vectors are never hits. Ties go to the smaller id.
+    The queries, at most max_queries, are sent to every task once and scored in blocks, a batch of items as
+    one matrix product; a task keeps its k best a query over all its batches, and only these leave it. Items
+    of another dimension raise; null and zero vectors are never hits. Ties go to the smaller id.
     """
     rows = sorted(bounded_rows(queries.where(F.col("embedding").isNotNull()), max_queries, "the query set"), key=lambda r: str(r.query_id))
     names = [r.query_id for r in rows]
@@ -87,11 +157,14 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, max_queries: int =
     norm = np.linalg.norm(matrix, axis=1, keepdims=True) if rows else matrix
     unit = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
     ids = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(items.dtypes)["id"]}
-    usable = items.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where(F.size("embedding") > 0)
+    usable = items.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where((F.size("embedding") > 0) & F.col("id").isNotNull())
+    shared = items.sparkSession.sparkContext.broadcast((names, unit))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_type = pa.array(names).type if names else None
+        names, unit = shared.value
+        best, id_type = _Best(k), pa.int64()
         for batch in batches:
+            id_type = batch.schema.field(0).type
             if not names or not batch.num_rows:
                 continue
             vectors = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
@@ -99,22 +172,15 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, max_queries: int =
             keep = np.flatnonzero(size > 0)
             if not len(keep):
                 continue
-            vectors = vectors[keep] / size[keep][:, None]
-            own = batch.column(0).take(pa.array(keep))
-            order = np.argsort(np.array([x if isinstance(x, int) else str(x) for x in own.to_pylist()]), kind="stable")
+            own = np.array(batch.column(0).to_pylist())[keep]
+            order = np.argsort(own, kind="stable")
+            own, vectors = own[order], vectors[keep[order]] / size[keep[order]][:, None]
             for first in range(0, len(names), block):
-                scores = np.round(unit[first : first + block] @ vectors[order].T, 6)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                q = np.repeat(np.arange(len(best)), best.shape[1])
-                at = best.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([names[first + i] for i in q], query_type),
-                        own.take(pa.array(order[at])),
-                        pa.array(scores[q, at]),
-                    ],
-                    ["query_id", "id", "score"],
-                )
+                scores = np.round(unit[first : first + block] @ vectors.T, 6)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                q = np.repeat(np.arange(len(top)), top.shape[1])
+                best.add(q + first, own[top.ravel()], scores[q, top.ravel()])
+        yield best.batch(names, (pa.array(names).type if names else pa.string(), id_type))
 
     found = usable.mapInArrow(search, f"query_id {ids['query_id']}, id {ids['id']}, score double")
     return top_k(found, k)

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, one_line
+from ..plans.ordered import running
 
 FURNITURE = ("HEADER", "FOOTER", "PAGE_NUMBER")
 ANCHORS = ("TITLE", "HEADING")
+#: Fixed: marks of list lines, words of captions. The thresholds of the rules below are fixed values too.
+BULLET = r"^\s*([-*•]|\d+[.)])\s+"
+CAPTION = r"(?i)(figure|fig\.|plate|table)"
 
 
 def page_class(length: Column, blocks: Column, images: Column, ratio: Column) -> Column:
@@ -32,28 +36,77 @@ def page_signals(blocks: DataFrame) -> DataFrame:
     )
 
 
+def page_pictures(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_id, page_number, n_images, ratio): FIGURE blocks of a page and their share of its area, at most 1. pages: document_id, page_number, width, height."""
+    box = F.col("bbox")
+    area = F.greatest(box["x1"] - box["x0"], F.lit(0.0)) * F.greatest(box["y1"] - box["y0"], F.lit(0.0))
+    own = blocks.where(F.col("block_type") == "FIGURE").groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("n_images"), F.sum(area).alias("area"))
+    sized = own.join(pages, ["document_id", "page_number"], "left")
+    ratio = F.coalesce(F.least(F.lit(1.0), F.col("area") / F.nullif(F.col("width") * F.col("height"), F.lit(0.0))), F.lit(0.0))
+    return sized.select("document_id", "page_number", "n_images", ratio.alias("ratio"))
+
+
+def block_evidence(text: Column, font: Column, body: Column, y0: Column, y1: Column, height: Column) -> dict[str, Column]:
+    """What a block's type and grade are decided by; blank lines don't count as lines."""
+    bare = F.trim(text, F.lit(" \n\t\r"))
+    filled = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r")) != "")
+    return {
+        "n": F.length(bare), "lines": F.size(filled), "bulleted": F.size(F.filter(filled, lambda x: x.rlike(BULLET))),
+        "number": bare.rlike(r"(?i)^(page\s+)?\d+$") | (bare.rlike(r"(?i)^[ivxlcdm]+$") & (F.length(bare) <= 8)),
+        "top": F.coalesce(y1 <= 0.08 * height, F.lit(False)), "bottom": F.coalesce(y0 >= 0.93 * height, F.lit(False)),
+        "near_top": F.coalesce(y0 < 0.18 * height, F.lit(False)), "ratio": F.when((font > 0) & (body > 0), font / body),
+        "caption": bare.rlike(CAPTION), "ended": bare.rlike(r"[.!?:;”’'\"]$"),
+    }
+
+
 def block_kind(text: Column, font: Column, body: Column, y0: Column, y1: Column, height: Column) -> Column:
-    """Type of a block by place, size and form: edges first, then lists, headings by size, captions, paragraphs."""
-    bare = F.trim(text)
-    n = F.length(bare)
-    lines = F.size(F.split(bare, "\n"))
-    bulleted = F.size(F.filter(F.split(bare, "\n"), lambda x: x.rlike(r"^\s*([-*•]|\d+[.)])\s+")))
-    number = bare.rlike(r"(?i)^(page\s+)?\d+$") | (bare.rlike(r"(?i)^[ivxlcdm]+$") & (n <= 8))
-    edge = (y1 <= 0.08 * height) | (y0 >= 0.93 * height)
-    ratio = font / body
+    """Type of a block by place, size and form, the first rule that holds; UNKNOWN without enough evidence."""
+    e = block_evidence(text, font, body, y0, y1, height)
+    edge, n, lines, ratio = e["top"] | e["bottom"], e["n"], e["lines"], e["ratio"]
     return (
-        F.when(n == 0, "UNKNOWN")
-        .when(edge & number, "PAGE_NUMBER")
-        .when(edge & (n <= 80), F.when(y0 >= 0.93 * height, "FOOTER").otherwise("HEADER"))
+        F.when(edge & e["number"], "PAGE_NUMBER")
+        .when(edge & (n <= 80), F.when(e["bottom"], "FOOTER").otherwise("HEADER"))
         .when(edge, "UNKNOWN")
-        .when((bulleted >= 2) & (bulleted >= lines - 1), "LIST")
-        .when((ratio >= 1.35) & (n <= 150) & (lines <= 3), F.when(y0 < 0.18 * height, "TITLE").otherwise("HEADING"))
+        .when((e["bulleted"] >= 2) & (e["bulleted"] >= lines - 1), "LIST")
+        .when((ratio >= 1.35) & (n <= 150) & (lines <= 3), F.when(e["near_top"], "TITLE").otherwise("HEADING"))
         .when((ratio >= 1.15) & (n <= 120) & (lines <= 2), "HEADING")
-        .when((ratio <= 0.85) & (n <= 200) & (lines <= 2), "CAPTION")
-        .otherwise("PARAGRAPH")
+        .when((ratio <= 0.85) & (n <= 200) & (lines <= 2) & e["caption"], "CAPTION")
+        .when((lines >= 2) | e["ended"] | (n >= 200), "PARAGRAPH")
+        .when((n >= 40) & (ratio.isNull() | ((ratio > 0.85) & (ratio < 1.15))), "PARAGRAPH")
+        .otherwise("UNKNOWN")
+    )
+
+
+def quality_score(kind: Column, text: Column, font: Column, body: Column, y0: Column, y1: Column, height: Column) -> Column:
+    """Grade of the evidence for a block's type; null for UNKNOWN."""
+    e = block_evidence(text, font, body, y0, y1, height)
+    return (
+        F.when(kind == "UNKNOWN", F.lit(None).cast("double"))
+        .when(e["top"] | e["bottom"], 0.9)
+        .when(kind.isin(*ANCHORS), F.when(e["ratio"] >= 1.35, 0.9).otherwise(0.7))
+        .when(kind == "LIST", 0.85).when(kind == "CAPTION", 0.6)
+        .when((kind == "PARAGRAPH") & ((e["lines"] >= 2) | (e["n"] >= 200)), 0.7)
+        .otherwise(0.5)
+    )
+
+
+def upper_median_size(blocks: DataFrame) -> DataFrame:
+    """(document_id, page_number, size): the upper median of the font sizes of each page's blocks."""
+    sized = blocks.where(F.col("font_size").isNotNull())
+    return sized.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list("font_size")).alias("x")).select(
+        "document_id", "page_number", F.get("x", F.floor(F.size("x") / 2).cast("int")).alias("size")
     )
 
 
+def line_rects(blocks: DataFrame) -> DataFrame:
+    """(document_id, page_number, block_id, line_no, x0, y0, x1, y1): a block's box cut into its lines, of equal height."""
+    lines = blocks.where(F.col("bbox").isNotNull() & (F.length("text") > 0)).select("document_id", "page_number", "block_id", "bbox", F.split("text", "\n").alias("l"))
+    step = (F.col("bbox.y1") - F.col("bbox.y0")) / F.size("l")
+    at = lambda k: F.round(F.col("bbox.y0") + step * k, 4)
+    rects = lines.withColumn("line_no", F.explode(F.sequence(F.lit(1), F.size("l"))))
+    return rects.select("document_id", "page_number", "block_id", "line_no", "bbox.x0", at(F.col("line_no") - 1).alias("y0"), "bbox.x1", at(F.col("line_no")).alias("y1"))
+
+
 def median_body_size(blocks: DataFrame) -> DataFrame:
     """(document_id, body_size): median font size, each block counted once for every 100 characters, at least 1, at most 5 times."""
     weight = F.least(F.greatest(F.floor(F.length("text") / 100), F.lit(1)), F.lit(5)).cast("int")
@@ -74,28 +127,30 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 
 def sections(blocks: DataFrame) -> DataFrame:
-    """Section number and heading of each content block: the latest title or heading before it in its document.
+    """Section number, heading and heading path of each content block: the latest title or heading before it in its document.
 
     blocks: document_id, page_number, reading_order, block_id, block_type, text. Furniture is left out;
-    blocks before the first heading are in section 0, without a heading.
+    blocks before the first heading are in section 0, without a heading. heading_path has two levels: the
+    latest title, and the latest heading since. Long documents are followed without a task that holds one.
     """
-    order = Window.partitionBy("document_id").orderBy("page_number", "reading_order", "block_id")
-    anchor = F.col("block_type").isin(*ANCHORS)
+    anchor = F.coalesce(F.col("block_type").isin(*ANCHORS), F.lit(False))
     content = blocks.where(~F.coalesce(F.col("block_type").isin(*FURNITURE), F.lit(False)))
-    return (
-        content.withColumn("section_no", F.sum(F.coalesce(anchor, F.lit(False)).cast("int")).over(order))
-        .withColumn("heading", F.last(F.when(anchor, one_line(F.col("text"))), ignorenulls=True).over(order))
-    )
+    title, name = F.col("block_type") == "TITLE", one_line(F.col("text"))
+    level = F.when(title, F.struct(F.lit(None).cast("string").alias("h"))).when(F.col("block_type") == "HEADING", F.struct(name.alias("h")))
+    out = running(
+        content, ["document_id"], ["page_number", "reading_order", "block_id"],
+        {"section_no": ("sum", anchor.cast("int")), "heading": ("last", F.when(anchor, name)), "__title": ("last", F.when(title, name)), "__level": ("last", level)},
+    )
+    return out.withColumn("heading_path", F.array_compact(F.array("__title", "__level.h"))).drop("__title", "__level")
 
 
 def page_runs(blocks: DataFrame) -> DataFrame:
     """(document_id, run_no, page_number, n_blocks): runs of consecutive blocks of one page in reading order."""
-    order = Window.partitionBy("document_id").orderBy("reading_order", "block_id")
-    new = F.coalesce((F.lag("page_number").over(order) != F.col("page_number")).cast("int"), F.lit(1))
-    return (
-        blocks.withColumn("new", new).withColumn("run_no", F.sum("new").over(order))
-        .groupBy("document_id", "run_no", "page_number").agg(F.count(F.lit(1)).alias("n_blocks"))
-    )
+    order = ["reading_order", "block_id"]
+    rows = running(blocks.select("document_id", "page_number", *order), ["document_id"], order, {"before": ("lag", F.col("page_number"))})
+    new = F.coalesce((F.col("before") != F.col("page_number")).cast("int"), F.lit(1))
+    numbered = running(rows.withColumn("new", new), ["document_id"], order, {"run_no": ("sum", F.col("new"))})
+    return numbered.groupBy("document_id", "run_no", "page_number").agg(F.count(F.lit(1)).alias("n_blocks"))
 
 
 def token_windows(items: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
@@ -208,8 +263,8 @@ def chunk_violations(chunks: DataFrame, blocks: DataFrame, documents: DataFrame
     )
     lost = used.join(known, ["document_id", "block_id"], "left_anti").select("chunk_id", F.lit("unknown_block").alias("problem"))
     twice = one.groupBy("chunk_id").count().where("count > 1").select("chunk_id", F.lit("duplicate_id").alias("problem"))
-    order = Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
-    back = one.withColumn("prior", F.lag("start_page").over(order)).where(F.col("start_page") < F.col("prior")).select("chunk_id", F.lit("page_order").alias("problem"))
+    order = ["chunk_index", "chunk_id"]
+    back = running(one.select("document_id", "start_page", *order), ["document_id"], order, {"prior": ("lag", F.col("start_page"))}).where(F.col("start_page") < F.col("prior")).select("chunk_id", F.lit("page_order").alias("problem"))
     rebuilt = (
         used.join(known, ["document_id", "block_id"]).groupBy("chunk_id", "text")
         .agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "b")))["b"], "\n\n").alias("again"))

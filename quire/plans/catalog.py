@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import answering, chunking, corpus, evaluation, evidence, graph, retrieval, structure
 from ..sources.tables import table
 from .lineage import spread, write_table
+from .ordered import running
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +35,11 @@ def _blocks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "blocks").drop("extracted_at", "ingested_at", "heuristic_quality_score").dropDuplicates(["document_id", "block_id"])
 
 
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    """Size of each page; repeated rows of a page count once."""
+    return table(s, d, "page_inspections").groupBy("document_id", "page_number").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+
+
 def _documents(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "source_documents").dropDuplicates(["document_id"])
 
@@ -176,8 +182,8 @@ def hash_embed(s, d):
 # retrieval over all questions at once
 
 
-def _bm25_leg(s, d, k=30):
-    return retrieval.bm25_topk(_questions(s, d), _chunk_text(s, d), k)
+def _bm25_leg(s, d, k=30, tokens=None):
+    return retrieval.bm25_topk(_questions(s, d), _chunk_text(s, d), k, tokens)
 
 
 def _dense_leg(s, d, k=30):
@@ -186,8 +192,8 @@ def _dense_leg(s, d, k=30):
     return retrieval.dense_topk(asked, items, k)
 
 
-def _legs(s, d):
-    return write_table(_dense_leg(s, d), "dense"), write_table(_bm25_leg(s, d), "bm25")
+def _legs(s, d, tokens=None):
+    return write_table(_dense_leg(s, d), "dense"), write_table(_bm25_leg(s, d, tokens=tokens), "bm25")
 
 
 @query
@@ -211,8 +217,8 @@ def retrieve_hybrid(s, d):
     return retrieval.fuse(*_legs(s, d), 20)
 
 
-def _reranked(s, d, legs=None, k=10):
-    pool = retrieval.fuse(*(legs or _legs(s, d)), 20)
+def _reranked(s, d, pool=None, k=10):
+    pool = retrieval.fuse(*_legs(s, d), 20) if pool is None else pool
     full = pool.join(_questions(s, d).select("query_id", "query"), "query_id").join(_chunks(s, d).withColumnRenamed("chunk_id", "id"), "id")
     return retrieval.rerank(full, k)
 
@@ -249,21 +255,27 @@ def render_pack(s, d):
 # evaluation: the relevant chunks of a question are the three that its reference answer finds
 
 
-def _labels(s, d):
+def _labels(s, d, tokens=None):
     answers = _questions(s, d).where(F.col("reference_answer").isNotNull()).select("query_id", F.col("reference_answer").alias("query"))
-    return retrieval.bm25_topk(answers, _chunk_text(s, d), 3).select("query_id", F.col("id").alias("key"))
+    return retrieval.bm25_topk(answers, _chunk_text(s, d), 3, tokens).select("query_id", F.col("id").alias("key"))
+
 
+MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
 
-def _runs(s, d):
-    dense, lexical = _legs(s, d)
-    hybrid = retrieval.fuse(dense, lexical, 20)
-    reranked = _reranked(s, d, (dense, lexical))
+
+def _runs(s, d, tokens=None):
+    """Ranks of all modes; tokens, legs and the fused pool are made once."""
+    dense, lexical = _legs(s, d, tokens)
+    hybrid = write_table(retrieval.fuse(dense, lexical, 20), "fused")
+    reranked = _reranked(s, d, hybrid)
     row = lambda df, mode, rank: df.select(F.lit(mode).alias("mode"), "query_id", F.col("id").alias("key"), F.col(rank).alias("rank"))
     return row(dense, "dense", "rank").unionByName(row(lexical, "bm25", "rank")).unionByName(row(hybrid, "hybrid", "fusion_rank")).unionByName(row(reranked, "hybrid_rerank", "reranker_rank"))
 
 
 def _per_query(s, d):
-    return write_table(evaluation.metrics(_runs(s, d), _labels(s, d), _questions(s, d).select("query_id")), "metrics")
+    tokens = retrieval.tokenised(_chunk_text(s, d))
+    runs = _runs(s, d, tokens)
+    return write_table(evaluation.metrics(runs, _labels(s, d, tokens), _questions(s, d).select("query_id"), modes=MODES), "metrics")
 
 
 @query
@@ -307,8 +319,10 @@ def page_signals(s, d):
 
 @query
 def classify_page(s, d):
-    kind = structure.page_class(F.col("text_length"), F.col("n_blocks"), F.lit(0), F.lit(0.0))
-    return structure.page_signals(_blocks(s, d)).select("document_id", "page_number", kind.alias("class"))
+    # a page's pictures are its FIGURE blocks
+    kind = structure.page_class(F.col("text_length"), F.col("n_blocks"), F.coalesce("n_images", F.lit(0)), F.coalesce("ratio", F.lit(0.0)))
+    pictures = structure.page_pictures(_blocks(s, d), _pages(s, d))
+    return structure.page_signals(_blocks(s, d)).join(pictures, ["document_id", "page_number"], "left").select("document_id", "page_number", kind.alias("class"))
 
 
 @query
@@ -316,11 +330,31 @@ def weighted_median(s, d):
     return structure.median_body_size(_blocks(s, d)).select("document_id", F.round("body_size", 4).alias("body_size"))
 
 
+def _typed(s, d):
+    b = _blocks(s, d).where(F.col("text").isNotNull()).join(structure.median_body_size(_blocks(s, d)), "document_id", "left")
+    sized = b.join(_pages(s, d), ["document_id", "page_number"], "left").withColumn("height", F.coalesce("height", F.lit(842.0)))
+    args = (F.col("text"), F.col("font_size"), F.col("body_size"), F.col("bbox.y0"), F.col("bbox.y1"), F.col("height"))
+    return sized.withColumn("kind", structure.block_kind(*args)).withColumn("score", structure.quality_score(F.col("kind"), *args))
+
+
 @query
 def classify_block(s, d):
-    b = _blocks(s, d).where(F.col("text").isNotNull()).join(structure.median_body_size(_blocks(s, d)), "document_id", "left")
-    kind = structure.block_kind(F.col("text"), F.col("font_size"), F.col("body_size"), F.col("bbox.y0"), F.col("bbox.y1"), F.lit(842.0))
-    return b.select("document_id", "block_id", kind.alias("kind"))
+    return _typed(s, d).select("document_id", "block_id", "kind")
+
+
+@query
+def quality_score(s, d):
+    return _typed(s, d).select("document_id", "block_id", "score")
+
+
+@query
+def upper_median_size(s, d):
+    return structure.upper_median_size(_blocks(s, d))
+
+
+@query
+def line_rects(s, d):
+    return structure.line_rects(_blocks(s, d))
 
 
 @query
@@ -331,7 +365,7 @@ def reading_order(s, d):
 
 @query
 def section_fill(s, d):
-    return structure.sections(_blocks(s, d)).select("document_id", "block_id", "section_no", "heading")
+    return structure.sections(_blocks(s, d)).select("document_id", "block_id", "section_no", "heading", F.array_join("heading_path", " / ").alias("path"))
 
 
 @query
@@ -397,8 +431,8 @@ def source_loss_anti(s, d):
 
 @query
 def order_check(s, d):
-    order = Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
-    return _chunks(s, d).withColumn("prior", F.lag("start_page").over(order)).where(F.col("start_page") < F.col("prior")).select("chunk_id", "start_page", "prior")
+    rows = running(_chunks(s, d).select("document_id", "chunk_index", "chunk_id", "start_page"), ["document_id"], ["chunk_index", "chunk_id"], {"prior": ("lag", F.col("start_page"))})
+    return rows.where(F.col("start_page") < F.col("prior")).select("chunk_id", "start_page", "prior")
 
 
 # corpus
@@ -596,8 +630,8 @@ def distinct_types(s, d):
 @query
 def library_sort(s, d):
     status = F.coalesce(F.array_position(F.array(F.lit("INCLUDE"), F.lit("REVIEW"), F.lit("EXCLUDE")), F.col("index_status")), F.lit(0))
-    order = Window.partitionBy("section").orderBy(F.when(status == 0, 9).otherwise(status), "title", "document_id")
-    return _documents(s, d).withColumn("place", F.row_number().over(order)).select("section", "place", "document_id")
+    rows = _documents(s, d).select("section", "title", "document_id", F.when(status == 0, 9).otherwise(status).alias("status"))
+    return running(rows, ["section"], ["status", "title", "document_id"], {"place": ("sum", F.lit(1))}).select("section", F.col("place").cast("int").alias("place"), "document_id")
 
 
 @query

@@ -20,10 +20,23 @@ _ENDS = """ends AS (SELECT source_node_id AS node_id, target_node_id AS other_id
     UNION ALL SELECT target_node_id, source_node_id, * FROM ed)"""
 _Q = "q AS (SELECT question_id AS query_id, any_value(question) AS query, any_value(reference_answer) AS reference_answer FROM bench_items GROUP BY question_id)"
 
-_LEX = "regexp_extract_all(lower({0}), '[a-z0-9]+(?:[-''][a-z0-9]+)*')"
+#: Fixed: compatibility characters of letters and digits that scanned text holds, and their plain forms.
+_NFKC = "replace(replace(replace(replace(translate({0}, 'ſ²³¹ªº', 's231ao'), 'ﬃ', 'ffi'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff')"
+_LEX = "regexp_extract_all(lower(" + _NFKC + "), '[a-z0-9]+(?:[-''][a-z0-9]+)*')"
 _TOK = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
 _LINE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _FOLIO = r"regexp_matches(line, '(?i)^\s*[-—–|.]?\s*(\d{1,4}|[ivxlcdm]{1,7})\s*[-—–|.]*\s*$') AND length(trim(line)) <= 12"
+_PG = "pg AS (SELECT document_id, page_number, max(width) AS width, max(height) AS height FROM page_inspections GROUP BY ALL)"
+_KIND = r"""e AS (SELECT document_id, block_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t, list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13)) <> '') AS ls,
+        CASE WHEN font_size > 0 AND body_size > 0 THEN font_size / body_size END AS ratio, bbox.y0 AS y0, bbox.y1 AS y1, coalesce(height, 842) AS height
+        FROM bl LEFT JOIN body USING (document_id) LEFT JOIN pg USING (document_id, page_number) WHERE text IS NOT NULL),
+    f AS (SELECT *, length(t) AS n, len(ls) AS lines, len(list_filter(ls, lambda l: regexp_matches(l, '^\s*([-*•]|\d+[.)])\s+'))) AS bulleted,
+        regexp_matches(t, '(?i)^(page\s+)?\d+$') OR (regexp_matches(t, '(?i)^[ivxlcdm]+$') AND length(t) <= 8) AS number,
+        coalesce(y1 <= 0.08 * height, false) AS top, coalesce(y0 >= 0.93 * height, false) AS bottom FROM e),
+    k AS (SELECT *, CASE WHEN (top OR bottom) AND number THEN 'PAGE_NUMBER' WHEN (top OR bottom) AND n <= 80 THEN CASE WHEN bottom THEN 'FOOTER' ELSE 'HEADER' END WHEN top OR bottom THEN 'UNKNOWN'
+        WHEN bulleted >= 2 AND bulleted >= lines - 1 THEN 'LIST' WHEN ratio >= 1.35 AND n <= 150 AND lines <= 3 THEN CASE WHEN coalesce(y0 < 0.18 * height, false) THEN 'TITLE' ELSE 'HEADING' END
+        WHEN ratio >= 1.15 AND n <= 120 AND lines <= 2 THEN 'HEADING' WHEN ratio <= 0.85 AND n <= 200 AND lines <= 2 AND regexp_matches(t, '(?i)(figure|fig\.|plate|table)') THEN 'CAPTION'
+        WHEN lines >= 2 OR regexp_matches(t, '[.!?:;”’''"]$') OR n >= 200 THEN 'PARAGRAPH' WHEN n >= 40 AND (ratio IS NULL OR (ratio > 0.85 AND ratio < 1.15)) THEN 'PARAGRAPH' ELSE 'UNKNOWN' END AS kind FROM f)"""
 _FURNITURE = "('HEADER', 'FOOTER', 'PAGE_NUMBER')"
 
 _TERMS = f"""t AS (SELECT chunk_id AS id, {_LEX.format('text')} AS tokens FROM ch),
@@ -91,7 +104,8 @@ _BODY = """sizes AS (SELECT document_id, font_size, unnest(range(CAST(least(grea
         FROM bl WHERE font_size IS NOT NULL AND text IS NOT NULL),
     body AS (SELECT document_id, median(font_size) AS body_size FROM sizes GROUP BY document_id)"""
 _FORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
-_PRINT = r"""SELECT document_id, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT document_id,
+_PRINT = r"""SELECT document_id, count(*) AS n, sha256(concat_ws('-', CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR),
+    CAST(sum(CAST('0x' || substr(h, 25, 12) AS BIGINT)) AS VARCHAR))) AS fingerprint FROM (SELECT document_id,
     sha256(chr(0) || chunk_id || chr(1) || trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM ch {0}) GROUP BY document_id"""
 _RELATION = r"""CASE WHEN regexp_matches(evidence_text, '(?i)\bpart of\b|\bcomponent of\b') THEN 'PART_OF'
     WHEN regexp_matches(evidence_text, '(?i)\bcontrast(s|ing)? (with|to)\b|\bunlike\b|\bopposed? to\b') THEN 'CONTRASTS_WITH'
@@ -160,26 +174,32 @@ SQL: dict[str, str] = {
         y AS (SELECT query_id, document_id || ':' || page AS key, min(rank * 100000 + pos) AS seen FROM x GROUP BY ALL)
         SELECT 'bm25' AS mode, query_id, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY seen, key) AS INTEGER) AS rank FROM y""",
     "page_signals": f"WITH {_BL}, {_SIGNALS} SELECT * FROM sig",
-    "classify_page": f"""WITH {_BL}, {_SIGNALS} SELECT document_id, page_number, CASE WHEN text_length < 20 THEN 'EMPTY' WHEN n_blocks = 0 THEN 'SUSPICIOUS' ELSE 'NATIVE' END AS class FROM sig""",
+    "classify_page": f"""WITH {_BL}, {_SIGNALS}, {_PG}, f AS (SELECT document_id, page_number, count(*) AS n_images,
+            coalesce(least(1.0, sum(greatest(bbox.x1 - bbox.x0, 0) * greatest(bbox.y1 - bbox.y0, 0)) / nullif(any_value(width) * any_value(height), 0)), 0) AS ratio
+            FROM bl LEFT JOIN pg USING (document_id, page_number) WHERE block_type = 'FIGURE' GROUP BY ALL)
+        SELECT document_id, page_number, CASE WHEN text_length = 0 AND coalesce(n_images, 0) = 0 THEN 'EMPTY' WHEN text_length < 20 AND n_images > 0 THEN 'OCR_REQUIRED'
+            WHEN text_length < 20 THEN 'EMPTY' WHEN n_blocks = 0 THEN 'SUSPICIOUS' WHEN n_images > 0 AND ratio > 0.1 AND text_length < 500 THEN 'HYBRID' ELSE 'NATIVE' END AS class
+        FROM sig LEFT JOIN f USING (document_id, page_number)""",
     "weighted_median": f"WITH {_BL}, {_BODY} SELECT document_id, round(body_size, 4) AS body_size FROM body",
-    "classify_block": rf"""WITH {_BL}, {_BODY}, x AS (SELECT document_id, block_id, trim(text) AS t, font_size / body_size AS ratio, bbox.y0 AS y0, bbox.y1 AS y1,
-            length(trim(text)) AS n, string_split(trim(text), chr(10)) AS lines FROM bl LEFT JOIN body USING (document_id) WHERE text IS NOT NULL),
-        y AS (SELECT *, len(lines) AS k, len(list_filter(lines, lambda l: regexp_matches(l, '^\s*([-*•]|\d+[.)])\s+'))) AS bullets,
-            coalesce(y1 <= 0.08 * 842 OR y0 >= 0.93 * 842, false) AS edge FROM x)
-        SELECT document_id, block_id, CASE WHEN n = 0 THEN 'UNKNOWN'
-            WHEN edge AND (regexp_matches(t, '(?i)^(page\s+)?\d+$') OR (regexp_matches(t, '(?i)^[ivxlcdm]+$') AND n <= 8)) THEN 'PAGE_NUMBER'
-            WHEN edge AND n <= 80 THEN CASE WHEN y0 >= 0.93 * 842 THEN 'FOOTER' ELSE 'HEADER' END WHEN edge THEN 'UNKNOWN'
-            WHEN bullets >= 2 AND bullets >= k - 1 THEN 'LIST'
-            WHEN ratio >= 1.35 AND n <= 150 AND k <= 3 THEN CASE WHEN y0 < 0.18 * 842 THEN 'TITLE' ELSE 'HEADING' END
-            WHEN ratio >= 1.15 AND n <= 120 AND k <= 2 THEN 'HEADING' WHEN ratio <= 0.85 AND n <= 200 AND k <= 2 THEN 'CAPTION' ELSE 'PARAGRAPH' END AS kind FROM y""",
+    "classify_block": f"WITH {_BL}, {_BODY}, {_PG}, {_KIND} SELECT document_id, block_id, kind FROM k",
+    "quality_score": f"""WITH {_BL}, {_BODY}, {_PG}, {_KIND} SELECT document_id, block_id, CAST(CASE WHEN kind = 'UNKNOWN' THEN NULL WHEN top OR bottom THEN 0.9
+        WHEN kind IN ('TITLE', 'HEADING') THEN CASE WHEN ratio >= 1.35 THEN 0.9 ELSE 0.7 END WHEN kind = 'LIST' THEN 0.85 WHEN kind = 'CAPTION' THEN 0.6
+        WHEN kind = 'PARAGRAPH' AND (lines >= 2 OR n >= 200) THEN 0.7 ELSE 0.5 END AS DOUBLE) AS score FROM k""",
+    "upper_median_size": f"""WITH {_BL}, l AS (SELECT document_id, page_number, list_sort(list(font_size)) AS x FROM bl WHERE font_size IS NOT NULL GROUP BY ALL)
+        SELECT document_id, page_number, x[len(x) // 2 + 1] AS size FROM l""",
+    "line_rects": f"""WITH {_BL}, l AS (SELECT document_id, page_number, block_id, bbox, len(string_split(text, chr(10))) AS n FROM bl WHERE bbox IS NOT NULL AND length(text) > 0),
+        r AS (SELECT *, (bbox.y1 - bbox.y0) / n AS step, unnest(range(1, n + 1)) AS line_no FROM l)
+        SELECT document_id, page_number, block_id, CAST(line_no AS INTEGER) AS line_no, bbox.x0 AS x0, round(bbox.y0 + step * (line_no - 1), 4) AS y0, bbox.x1 AS x1, round(bbox.y0 + step * line_no, 4) AS y1 FROM r""",
     "reading_order": f"""WITH {_BL}, pg AS (SELECT document_id, page_number, max(layout) AS layout, max(width) AS width FROM page_inspections GROUP BY ALL)
         SELECT document_id, page_number, block_id, CAST(row_number() OVER (PARTITION BY document_id, page_number ORDER BY
             CASE WHEN layout = 'TWO_COLUMN' AND NOT (bbox.x1 <= width / 2 OR (bbox.x0 + bbox.x1) / 2 < width / 2) THEN 1 ELSE 0 END,
             round(bbox.y0, 1) NULLS FIRST, round(bbox.x0, 1) NULLS FIRST, block_id) AS INTEGER) AS place FROM bl JOIN pg USING (document_id, page_number)""",
-    "section_fill": f"""WITH {_BL}, c AS (SELECT *, coalesce(block_type IN ('TITLE', 'HEADING'), false) AS anchor FROM bl WHERE coalesce(block_type NOT IN {_FURNITURE}, true))
-        SELECT document_id, block_id, CAST(sum(CAST(anchor AS INTEGER)) OVER w AS BIGINT) AS section_no,
-            last_value(CASE WHEN anchor THEN {_LINE.format('text')} END IGNORE NULLS) OVER w AS heading
-        FROM c WINDOW w AS (PARTITION BY document_id ORDER BY page_number NULLS FIRST, reading_order NULLS FIRST, block_id ROWS UNBOUNDED PRECEDING)""",
+    "section_fill": f"""WITH {_BL}, c AS (SELECT *, coalesce(block_type IN ('TITLE', 'HEADING'), false) AS anchor, {_LINE.format('text')} AS name FROM bl WHERE coalesce(block_type NOT IN {_FURNITURE}, true)),
+        x AS (SELECT *, sum(CAST(anchor AS INTEGER)) OVER w AS section_no, last_value(CASE WHEN anchor THEN name END IGNORE NULLS) OVER w AS heading,
+            last_value(CASE WHEN block_type = 'TITLE' THEN name END IGNORE NULLS) OVER w AS title,
+            last_value(CASE WHEN block_type = 'TITLE' THEN struct_pack(h := NULL::VARCHAR) WHEN block_type = 'HEADING' THEN struct_pack(h := name) END IGNORE NULLS) OVER w AS level
+            FROM c WINDOW w AS (PARTITION BY document_id ORDER BY page_number NULLS FIRST, reading_order NULLS FIRST, block_id ROWS UNBOUNDED PRECEDING))
+        SELECT document_id, block_id, CAST(section_no AS BIGINT) AS section_no, heading, concat_ws(' / ', title, level.h) AS path FROM x""",
     "page_groups": f"""WITH {_BL}, o AS (SELECT document_id, block_id, page_number, page_number * 1000 + reading_order AS ro FROM bl),
         l AS (SELECT *, coalesce(CAST(lag(page_number) OVER w <> page_number AS INTEGER), 1) AS new FROM o WINDOW w AS (PARTITION BY document_id ORDER BY ro NULLS FIRST, block_id)),
         r AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY ro NULLS FIRST, block_id ROWS UNBOUNDED PRECEDING) AS run FROM l)
@@ -187,9 +207,11 @@ SQL: dict[str, str] = {
     "token_windows": f"""WITH {_CH}, t AS (SELECT chunk_id, {_TOK.format('text')} AS t FROM ch),
         w AS (SELECT chunk_id, t, unnest(range(1 + CAST(greatest(0, ceil((len(t) - 120) / 100)) AS INTEGER))) AS window_no FROM t WHERE len(t) > 0)
         SELECT chunk_id, window_no, len(t[window_no * 100 + 1:window_no * 100 + 120]) AS n_tokens, array_to_string(t[window_no * 100 + 1:window_no * 100 + 120], ' ') AS text FROM w""",
-    "x_occupancy": f"""WITH {_BL}, b AS (SELECT document_id, page_number, greatest(0, least(49, CAST(floor(bbox.x0 / 11.9) AS INTEGER))) AS lo, least(49, CAST(floor(bbox.x1 / 11.9) AS INTEGER)) AS hi,
-            count(*) OVER (PARTITION BY document_id, page_number) AS n FROM bl),
-        x AS (SELECT document_id, page_number, n, unnest(range(lo, greatest(lo, hi) + 1)) AS bin FROM b)
+    "x_occupancy": f"""WITH {_BL}, a AS (SELECT document_id, page_number, bbox, count(*) OVER w AS n, min(bbox.x0) OVER w AS lo, max(bbox.x1) OVER w AS hi
+            FROM bl WHERE bbox IS NOT NULL WINDOW w AS (PARTITION BY document_id, page_number)),
+        b AS (SELECT *, greatest(0, least(49, CAST(floor((bbox.x0 - lo) / (hi - lo) * 50) AS INTEGER))) AS first, greatest(0, least(49, CAST(floor((bbox.x1 - lo) / (hi - lo) * 50) AS INTEGER))) AS last
+            FROM a WHERE n >= 3 AND hi - lo > 1),
+        x AS (SELECT document_id, page_number, n, unnest(range(first, greatest(first, last) + 1)) AS bin FROM b)
         SELECT document_id, page_number, CAST(bin AS INTEGER) AS bin, round(count(*) / max(n), 6) AS coverage FROM x GROUP BY document_id, page_number, bin""",
     "drop_furniture": f"WITH {_BL} SELECT document_id, page_number, count(*) AS n_blocks FROM bl WHERE coalesce(block_type NOT IN {_FURNITURE}, true) GROUP BY ALL",
     "page_inspection": f"""WITH {_BL}, p AS (SELECT document_id, page_number, max(classification) AS classification FROM page_inspections GROUP BY ALL),
@@ -198,7 +220,12 @@ SQL: dict[str, str] = {
     "validate_chunks": rf"""WITH {_BL}, one AS (SELECT DISTINCT chunk_id, document_id, text, source_block_ids, page_numbers, start_page, end_page, token_count, chunk_index FROM chunks),
         u AS (SELECT chunk_id, document_id, text, unnest(source_block_ids) AS block_id, unnest(range(len(source_block_ids))) AS pos FROM one),
         r AS (SELECT chunk_id, u.text, string_agg(trim(coalesce(bl.text, ''), ' ' || chr(10) || chr(9) || chr(13)), chr(10) || chr(10) ORDER BY pos) AS again FROM u JOIN bl USING (document_id, block_id) GROUP BY chunk_id, u.text),
-        o AS (SELECT chunk_id, start_page, lag(start_page) OVER (PARTITION BY document_id ORDER BY chunk_index NULLS FIRST, chunk_id) AS prior FROM one)
+        o AS (SELECT chunk_id, start_page, lag(start_page) OVER (PARTITION BY document_id ORDER BY chunk_index NULLS FIRST, chunk_id) AS prior FROM one),
+        rb AS (SELECT document_id, block_id, max(page_number) AS page, max(reading_order) AS ro, count(*) AS n_rows FROM blocks GROUP BY document_id, block_id),
+        us AS (SELECT chunk_id, document_id, text, source_block_ids AS ids, unnest(source_block_ids) AS block_id, unnest(range(len(source_block_ids))) AS pos FROM one),
+        sw AS (SELECT chunk_id, block_id, page, ro, lag(page) OVER w AS bp, lag(ro) OVER w AS ba, lag(block_id) OVER w AS bb FROM us JOIN rb USING (document_id, block_id)
+            WINDOW w AS (PARTITION BY chunk_id, document_id, text, ids ORDER BY pos)),
+        pc AS (SELECT document_id, max(page_count) AS page_count FROM source_documents GROUP BY document_id)
         SELECT chunk_id, 'empty_text' AS problem FROM one WHERE length(trim(coalesce(text, ''))) = 0
         UNION SELECT chunk_id, 'no_blocks' FROM one WHERE coalesce(len(source_block_ids), 0) = 0
         UNION SELECT chunk_id, 'no_pages' FROM one WHERE coalesce(len(page_numbers), 0) = 0
@@ -207,6 +234,9 @@ SQL: dict[str, str] = {
         UNION SELECT chunk_id, 'unknown_block' FROM u ANTI JOIN bl USING (document_id, block_id)
         UNION SELECT chunk_id, 'duplicate_id' FROM one GROUP BY chunk_id HAVING count(*) > 1
         UNION SELECT chunk_id, 'page_order' FROM o WHERE start_page < prior
+        UNION SELECT chunk_id, 'repeated_block' FROM u JOIN rb USING (document_id, block_id) WHERE n_rows > 1
+        UNION SELECT chunk_id, 'block_order' FROM sw WHERE page = bp AND (ro < ba OR block_id = bb)
+        UNION SELECT chunk_id, 'page_outside' FROM (SELECT chunk_id, document_id, unnest(page_numbers) AS page FROM one) LEFT JOIN pc USING (document_id) WHERE page < 1 OR page > page_count
         UNION SELECT chunk_id, 'text_differs' FROM r WHERE text IS DISTINCT FROM again""",
     "chunk_block_join": f"""WITH {_CH}, {_BL}, u AS (SELECT chunk_id, document_id, unnest(source_block_ids) AS block_id FROM ch)
         SELECT chunk_id, count(*) AS n_blocks, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, min(page_number) AS first_page FROM u JOIN bl USING (document_id, block_id) GROUP BY chunk_id""",
