@@ -116,3 +116,43 @@ def pages_in_order(ranked: DataFrame, pages: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("mode", "query_id").orderBy("at", "key")
     return seen.select("mode", "query_id", "key", F.row_number().over(order).alias("rank"))
+
+
+def failure_counts(failed: DataFrame) -> DataFrame:
+    """(category, n) of failures (query_id, category)."""
+    return failed.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_violations(items: DataFrame, labels: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(key, problem) of a benchmark: empty when all is well.
+
+    items: question_id, question. labels: label_id, document_id, chunk_id, page_numbers. Problems:
+    duplicate_question (different questions of one id), blank_question, unknown_chunk, unknown_document,
+    other_document (the chunk lies in another), page_outside, duplicate_label.
+    """
+    say = lambda df, key, problem: df.select(F.col(key).alias("key"), F.lit(problem).alias("problem"))
+    one = labels.select("label_id", "document_id", "chunk_id", "page_numbers").distinct()
+    home = chunks.groupBy("chunk_id").agg(F.min("document_id").alias("home"))
+    size = documents.groupBy("document_id").agg(F.max("page_count").alias("page_count"))
+    located = one.join(home, "chunk_id", "left").join(size.withColumn("known", F.lit(True)), "document_id", "left")
+    pages = located.select("label_id", "page_count", F.explode("page_numbers").alias("page"))
+    parts = [
+        say(items.select("question_id", "question").distinct().groupBy("question_id").count().where("count > 1"), "question_id", "duplicate_question"),
+        say(items.where(F.trim(F.coalesce("question", F.lit(""))) == ""), "question_id", "blank_question"),
+        say(located.where("home is null"), "label_id", "unknown_chunk"),
+        say(located.where("known is null"), "label_id", "unknown_document"),
+        say(located.where("home <> document_id"), "label_id", "other_document"),
+        say(pages.where("page < 1 or page > page_count"), "label_id", "page_outside"),
+        say(one.groupBy("label_id").count().where("count > 1"), "label_id", "duplicate_label"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def run_summary(by_mode_rows: DataFrame, failed: DataFrame, run: str) -> DataFrame:
+    """(run, mode, summary): one JSON text a mode with its means by cut-off, and one for the failures under the mode '_failures'."""
+    means = by_mode_rows.groupBy("mode").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("k").cast("string"), F.struct("hit", "recall", "precision", "ndcg", "mrr")))))).alias("summary"))
+    counts = failure_counts(failed).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n"))))).alias("summary")).select(F.lit("_failures").alias("mode"), "summary")
+    return means.unionByName(counts).select(F.lit(run).alias("run"), "mode", "summary")

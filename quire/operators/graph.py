@@ -171,6 +171,86 @@ def edges(found: DataFrame) -> DataFrame:
     )
 
 
+def evidence_rows(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Evidence of the relations, one row a pair, span and source: evidence_id, a, b, chunk_id, document_id, page_numbers, source_block_ids, heading_path, evidence_text, relation_source.
+
+    The id is a hash of pair, span and source. A span belongs to the first chunk, by id, that holds it: spans
+    are met with the chunks in which they were found, so no text is searched in all chunks.
+    """
+    span = F.substring(F.trim(F.regexp_replace("span", r"\s+", " ")), 1, 400)
+    rows = found.select("a", "b", "chunk_id", span.alias("evidence_text"), F.col("source").alias("relation_source"))
+    one = rows.groupBy("a", "b", "evidence_text", "relation_source").agg(F.min("chunk_id").alias("chunk_id"))
+    key = F.concat(F.lit("('"), "a", F.lit("', '"), "b", F.lit("')"))
+    digest = F.sha2(F.concat_ws("|", key, "evidence_text", "relation_source"), 256)
+    home = chunks.groupBy("chunk_id").agg(F.max(F.struct("document_id", "page_numbers", "source_block_ids", "heading_path")).alias("c"))
+    return one.join(home, "chunk_id").select(
+        F.concat(F.lit("ge-"), F.substring(digest, 1, 16)).alias("evidence_id"), "a", "b", "chunk_id", "c.document_id", "c.page_numbers", "c.source_block_ids", "c.heading_path", "evidence_text", "relation_source"
+    )
+
+
+def edge_hashes(evidence: DataFrame) -> DataFrame:
+    """(a, b, edge_hash, evidence_ids): a hash over the sorted ids of each pair's evidence."""
+    by = evidence.groupBy("a", "b").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
+    return by.select("a", "b", F.concat(F.lit("edge-"), F.substring(F.sha2(F.array_join("evidence_ids", "|"), 256), 1, 12)).alias("edge_hash"), "evidence_ids")
+
+
+def nodes(edge_rows: DataFrame, vocabulary: DataFrame, edge_documents: DataFrame | None = None) -> DataFrame:
+    """(node_id, name, node_type, aliases, n_edges, evidence_count, n_documents) of the concepts; those without edges count 0.
+
+    edge_rows: source_node_id, target_node_id, evidence_count. edge_documents: source_node_id, target_node_id,
+    document_id of the evidence, for the distinct documents.
+    """
+    names = vocabulary.groupBy(F.col("canonical").alias("name")).agg(F.max("node_type").alias("node_type"), F.array_sort(F.collect_set("alias")).alias("aliases"))
+    counts = both_ends(edge_rows.select("source_node_id", "target_node_id", "evidence_count")).groupBy("node_id").agg(F.count(F.lit(1)).alias("n_edges"), F.coalesce(F.sum("evidence_count"), F.lit(0)).alias("evidence_count"))
+    out = names.withColumn("node_id", node_id(F.col("name"))).join(counts, "node_id", "left")
+    if edge_documents is not None:
+        spread = both_ends(edge_documents).groupBy("node_id").agg(F.count_distinct("document_id").alias("n_documents"))
+        out = out.join(spread, "node_id", "left")
+    else:
+        out = out.withColumn("n_documents", F.lit(None).cast("long"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("node_id", "name", "node_type", "aliases", zero("n_edges"), zero("evidence_count"), zero("n_documents"))
+
+
+def filter_nodes(vocabulary: DataFrame, node_type: str | None, text: str | None) -> DataFrame:
+    """(node_id, name, node_type) by type, in any case, and by a part of the name or of any alias."""
+    rows = vocabulary.groupBy(F.col("canonical").alias("name")).agg(F.max("node_type").alias("node_type"), F.collect_set("alias").alias("aliases"))
+    if node_type:
+        rows = rows.where(F.upper("node_type") == node_type.strip().upper())
+    if text:
+        q = F.lit(text.strip().lower())
+        rows = rows.where(F.contains(F.lower("name"), q) | F.exists("aliases", lambda a: F.contains(F.lower(a), q)))
+    return rows.select(node_id(F.col("name")).alias("node_id"), "name", "node_type")
+
+
+def capped_neighbourhood(edge_rows: DataFrame, centre: str | None = None, rings: int = 2, max_nodes: int = 80, max_edges: int = 160) -> DataFrame:
+    """(kind, id, place, n_hidden): the neighbourhood of a node as shown: at most max_nodes nodes by ring, evidence and id, and max_edges edges between them by status, evidence and id.
+
+    n_hidden is the number of nodes, or edges between shown nodes, beyond the limit. Without a centre the node
+    with most evidence is taken, of equals the smallest id. A top-k report: the caps are its feature.
+    """
+    weight = both_ends(edge_rows.select("source_node_id", "target_node_id", "evidence_count")).groupBy("node_id").agg(F.coalesce(F.sum("evidence_count"), F.lit(0)).alias("evidence"))
+    if centre is None:
+        first = weight.orderBy(F.desc("evidence"), "node_id").limit(1).collect()
+        if not first:
+            return edge_rows.sparkSession.createDataFrame([], "kind string, id string, place int, n_hidden int")
+        centre = first[0].node_id
+    near = neighbourhood(edge_rows, centre, rings).join(weight, "node_id", "left")
+
+    def shown(rows: DataFrame, kind: str, key: str, order: list, limit: int) -> DataFrame:
+        """The first rows by a global top-k, and how many there are beyond."""
+        ranked = rows.orderBy(*order).limit(limit)
+        n = rows.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).cast("int").alias("n_hidden"))
+        place = F.row_number().over(Window.orderBy(*order))  # at most `limit` rows
+        return ranked.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), place.alias("place")).crossJoin(F.broadcast(n))  # one row
+
+    kept = write_table(shown(near, "node", "node_id", ["ring", F.desc(F.coalesce("evidence", F.lit(0))), "node_id"], max_nodes), "shown")
+    ids = kept.select(F.col("id").alias("node_id"))
+    inside = edge_rows.join(ids.withColumnRenamed("node_id", "source_node_id"), "source_node_id", "left_semi").join(ids.withColumnRenamed("node_id", "target_node_id"), "target_node_id", "left_semi")
+    rank = F.when(F.col("status") == "TRUSTED", 0).when(F.col("status") == "WEAK", 1).otherwise(2)
+    return kept.unionByName(shown(inside, "edge", "edge_id", [rank, F.desc(F.coalesce("evidence_count", F.lit(0))), "edge_id"], max_edges))
+
+
 def both_ends(edge_rows: DataFrame) -> DataFrame:
     """Each edge once from either end: node_id, other_id and the edge's other columns."""
     rest = [c for c in edge_rows.columns if c not in ("source_node_id", "target_node_id")]

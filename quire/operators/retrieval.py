@@ -86,13 +86,14 @@ class _Best:
         )
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int, tokens: DataFrame | None = None, max_terms: int = 5_000_000, block: int = 1024) -> DataFrame:
+def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int, tokens: DataFrame | None = None, among: DataFrame | None = None, max_terms: int = 5_000_000, block: int = 1024) -> DataFrame:
     """(query_id, id, score, rank) with positive scores only; blank queries have no hits.
 
     The terms of the queries, at most max_terms over all, are held by every task as an inverted index of the
     queries. Each record is scored where it is read, against all queries in blocks, and only a task's k best
     a query are shuffled: no posting of the corpus is. Document frequencies are counted over all records
-    with partial sums. tokens, if given, are those of the chunks, as written by `tokenised`.
+    with partial sums. tokens, if given, are those of the chunks, as written by `tokenised`. among (id) narrows
+    the hits, not the statistics.
     """
     tokens = tokenised(chunks) if tokens is None else tokens
     asked = queries.select("query_id", F.explode(lex_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -140,7 +141,8 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int, tokens: Data
                 best.add(q + begin, ids[r], score[good])
         yield best.batch(names, (pa.array(names).type if names else pa.string(), id_type))
 
-    found = tokens.where(F.col("id").isNotNull()).select("id", "tokens").mapInArrow(search, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    scored = tokens.where(F.col("id").isNotNull()) if among is None else tokens.join(among.select("id"), "id", "left_semi")
+    found = scored.select("id", "tokens").mapInArrow(search, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     return top_k(found, k)
 
 

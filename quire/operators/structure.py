@@ -283,3 +283,29 @@ def chunk_violations(chunks: DataFrame, blocks: DataFrame, documents: DataFrame
         outside = pages.where((F.col("page") < 1) | (F.col("page") > F.col("page_count")))
         out = out.unionByName(outside.select("chunk_id", F.lit("page_outside").alias("problem")))
     return out.distinct()
+
+
+def derivation(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(chunk_id, contiguous, ordered): whether a chunk's normalised words are a run, or at least an ordered part, of its source blocks' words.
+
+    Words are lower-cased and stripped of all but a-z and 0-9. Unknown blocks are passed over; a chunk
+    without words is both.
+    """
+    bare = lambda c: F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z0-9]", "")), lambda w: w != "")
+    one = chunks.groupBy("chunk_id").agg(F.max(F.struct("text", "document_id", "source_block_ids")).alias("c")).select("chunk_id", "c.*")
+    known = blocks.groupBy("document_id", "block_id").agg(F.max("text").alias("b"))
+    used = one.select("chunk_id", "document_id", F.posexplode("source_block_ids").alias("pos", "block_id")).join(known, ["document_id", "block_id"])
+    source = used.groupBy("chunk_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda x: bare(x["b"]))).alias("source"))
+    rows = one.select("chunk_id", bare(F.col("text")).alias("own")).join(source, "chunk_id", "left").withColumn("source", F.coalesce("source", F.array().cast("array<string>")))
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    # the source is passed once, with the place in the chunk's words that is waited for
+    met = F.aggregate("source", F.lit(0), lambda at, w: F.when(F.get("own", at) == w, at + 1).otherwise(at))
+    contiguous = (F.size("own") == 0) | F.contains(padded(F.col("source")), padded(F.col("own")))
+    return rows.select("chunk_id", contiguous.alias("contiguous"), (contiguous | (met == F.size("own"))).alias("ordered"))
+
+
+def require_none(violations: DataFrame, shown: int = 20) -> None:
+    """Raises ValueError with the first violations if there are any."""
+    first = violations.limit(shown).collect()
+    if first:
+        raise ValueError("; ".join(" ".join(map(str, r)) for r in first))

@@ -45,3 +45,39 @@ def write_markdown(df: DataFrame, path: str, group: str, text: str) -> None:
     body = df.groupBy(group).agg(F.array_sort(F.collect_list(order))["t"].alias("lines"))
     lines = F.concat(F.lit("## "), F.coalesce(group, F.lit("none")), F.lit("\n\n- "), F.array_join("lines", "\n- "), F.lit("\n"))
     body.orderBy(group).select(lines.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """(entry_no, sha256, path, index_status, title, author) of a JSON document with a list `documents`, in file order."""
+    schema = "documents array<struct<sha256: string, path: string, index_status: string, title: string, author: string>>"
+    return read_json(spark, path, schema, multi_line=True).select(F.posexplode("documents").alias("entry_no", "e")).select("entry_no", "e.*")
+
+
+def write_graph(tables: dict[str, DataFrame], folder: str) -> None:
+    """One Parquet table each for nodes, edges, evidence and state."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def write_report(df: DataFrame, folder: str, stamp: str) -> None:
+    """A report as JSON lines, under its time stamp and as the latest; null fields are left out."""
+    for name in (stamp, "latest"):
+        df.write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+
+
+def read_runs(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
+    """The records of all runs of a folder with the file each came from; records that don't parse are left out."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(folder)
+    return rows.withColumn("file", F.input_file_name())
+
+
+def write_comparison(means: DataFrame, path: str, ks: tuple[int, ...]) -> None:
+    """One line a run and mode: each metric at each cut-off, cut-offs in order, then mrr. means: run, mode, k, hit, recall, precision, ndcg, mrr."""
+    at = lambda metric, k: F.max(F.when(F.col("k") == k, F.col(metric))).alias(f"{metric}@{k}")
+    wide = means.groupBy("run", "mode").agg(*[at(m, k) for m in ("hit", "recall", "precision", "ndcg") for k in sorted(ks)], F.max("mrr").alias("mrr"))
+    write_csv(wide.orderBy("run", "mode"), path)
+
+
+def as_json(df: DataFrame, key: str) -> DataFrame:
+    """(key, json): every row as one JSON text; null fields are left out."""
+    return df.select(key, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("json"))
