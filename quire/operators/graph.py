@@ -67,20 +67,26 @@ def sentences(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _finder(aliases: list[tuple[str, str]]):
-    """Names in order of first mention: longer aliases claim their characters first, letters or digits may not adjoin."""
+def _finder(aliases: dict[str, str]):
+    """Names in order of first mention: longer aliases claim their characters first, letters or digits may not adjoin; one pass of an automaton."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for alias, name in aliases.items():
+        automaton.add_word(alias, (-len(alias), alias, name))
+    if aliases:
+        automaton.make_automaton()
 
     def find(text: str) -> list[str]:
+        if not aliases or not text:
+            return []
         taken, hits = bytearray(len(text)), []
-        for alias, name in aliases:
-            at = text.find(alias)
-            while at >= 0:
-                end = at + len(alias)
-                free = not any(taken[at:end])
-                if free and not (at and text[at - 1].isalnum()) and not (end < len(text) and text[end].isalnum()):
-                    taken[at:end] = b"\1" * len(alias)
-                    hits.append((at, name))
-                at = text.find(alias, at + 1)
+        for size, alias, at, name in sorted((size, alias, end + 1 + size, name) for end, (size, alias, name) in automaton.iter(text)):
+            end = at - size
+            if (at and text[at - 1].isalnum()) or (end < len(text) and text[end].isalnum()) or any(taken[at:end]):
+                continue
+            taken[at:end] = b"\1" * -size
+            hits.append((at, name))
         return list(dict.fromkeys(name for _, name in sorted(hits)))
 
     return find
@@ -95,7 +101,7 @@ def mentions(texts: DataFrame, text_col: str, vocabulary: DataFrame, max_aliases
         vocabulary.select(concept_form(F.col("alias")).alias("alias"), "canonical").where(F.length("alias") > 0)
         .groupBy("alias").agg(F.min("canonical").alias("canonical")), max_aliases, "the vocabulary",
     )
-    aliases = sorted(((r.alias, r.canonical) for r in rows), key=lambda a: (-len(a[0]), a[0]))
+    aliases = {r.alias: r.canonical for r in rows}
     kept = texts.drop("names").withColumn("__form", concept_form(F.coalesce(F.col(text_col), F.lit(""))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,34 @@ _HASH = """sha256(concat_ws('-', CAST(coalesce(sum(CAST('0x' || substr(h, 1, 12)
     CAST(coalesce(sum(CAST('0x' || substr(h, 25, 12) AS BIGINT)), 0) AS VARCHAR)))"""
 _WORDS = r"list_filter(list_transform(regexp_split_to_array(lower(coalesce({0}, '')), '\s+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> '')"
 
+_NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+#: Longer aliases are replaced by the number of their concept first, so shorter ones find no claimed characters.
+_ALIASES = f"""va AS (SELECT {_NORM.format('alias')} AS alias, min(canonical) AS canonical FROM vocabulary WHERE {_NORM.format('alias')} <> '' GROUP BY 1),
+    vn AS (SELECT canonical, row_number() OVER (ORDER BY canonical) AS no FROM (SELECT DISTINCT canonical FROM va)),
+    vl AS (SELECT list(struct_pack(a := alias, r := '<' || no || '>') ORDER BY length(alias) DESC, alias) AS l, list(canonical ORDER BY canonical) FILTER (first) AS names
+        FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY alias) = 1 AS first FROM va JOIN vn USING (canonical)))"""
+_CLAIMED = r"list_reduce(list_prepend(struct_pack(a := {0}, r := ''), l), lambda s, x: struct_pack(a := regexp_replace(s.a, '\b' || x.a || '\b', x.r, 'g'), r := ''))"
+
 SQL: dict[str, str] = {
+    "find_mentions": f"""WITH {_ALIASES}, e AS (SELECT DISTINCT chunk_id, evidence_text FROM graph_evidence),
+        c AS (SELECT chunk_id, evidence_text, regexp_extract_all(({_CLAIMED.format(_NORM.format('coalesce(translate(evidence_text, chr(383), chr(115)), chr(32))'))}).a, '<(\\d+)>', 1) AS k FROM e, vl),
+        m AS (SELECT chunk_id, evidence_text, unnest(k) AS no, unnest(range(len(k))) AS i FROM c), f AS (SELECT chunk_id, evidence_text, no, min(i) AS i FROM m GROUP BY ALL),
+        n AS (SELECT chunk_id, evidence_text, string_agg(canonical, '|' ORDER BY i) AS names FROM f JOIN vn ON vn.no = CAST(f.no AS BIGINT) GROUP BY ALL)
+        SELECT chunk_id, sha256(coalesce(evidence_text, '')) AS span, coalesce(names, '') AS names FROM e LEFT JOIN n USING (chunk_id, evidence_text)""",
+    "latest_blocks": """WITH l AS (SELECT document_id, block_id, max(struct_pack(at := ingested_at, page := page_number)) AS x FROM blocks GROUP BY ALL)
+        SELECT x.page AS page_number, count(*) AS n, CAST(max(x.at) AT TIME ZONE 'UTC' AS VARCHAR) AS last FROM l GROUP BY x.page""",
+    "validate_graph": f"""WITH o AS (SELECT DISTINCT edge_id, source_node_id AS s, target_node_id AS t, confidence, evidence_ids, evidence_count, status, build_id, relationship_type FROM graph_edges),
+        v AS (SELECT DISTINCT {_NODE.format('canonical')} AS node FROM vocabulary),
+        u AS (SELECT build_id, relationship_type, least(s, t) AS a, greatest(s, t) AS b, list(DISTINCT edge_id) AS ids FROM o GROUP BY ALL HAVING count(DISTINCT edge_id) > 1)
+        SELECT edge_id AS id, 'self_edge' AS problem FROM o WHERE s = t UNION SELECT edge_id, 'bad_confidence' FROM o WHERE confidence NOT BETWEEN 0 AND 1
+        UNION SELECT edge_id, 'unknown_node' FROM o WHERE s NOT IN (SELECT node FROM v) OR t NOT IN (SELECT node FROM v)
+        UNION SELECT edge_id, 'lost_evidence' FROM (SELECT edge_id, unnest(evidence_ids) AS evidence_id FROM o) ANTI JOIN graph_evidence USING (evidence_id)
+        UNION SELECT edge_id, 'trusted_without_evidence' FROM o WHERE status = 'TRUSTED' AND (evidence_count = 0 OR coalesce(len(evidence_ids), 0) = 0)
+        UNION SELECT edge_id, 'duplicate_edge' FROM o GROUP BY edge_id HAVING count(*) > 1 UNION SELECT unnest(ids), 'unmerged_edge' FROM u
+        UNION SELECT evidence_id, 'lost_chunk' FROM graph_evidence WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks) OR chunk_id IS NULL
+        UNION SELECT evidence_id, 'duplicate_evidence' FROM graph_evidence GROUP BY evidence_id HAVING count(*) > 1
+        UNION SELECT evidence_id, 'no_document' FROM graph_evidence WHERE coalesce(document_id, '') = '' OR coalesce(chunk_id, '') = ''
+        UNION SELECT evidence_id, 'no_pages' FROM graph_evidence WHERE coalesce(len(page_numbers), 0) = 0 UNION SELECT evidence_id, 'empty_span' FROM graph_evidence WHERE trim(coalesce(evidence_text, '')) = ''""",
     "read_registry": rf"WITH {_ENTRIES} SELECT entry_no, lower(sha) AS sha, NULL AS needle FROM en WHERE sha IS NOT NULL UNION ALL SELECT entry_no, NULL, lower(replace(path, '\', '/')) FROM en WHERE path IS NOT NULL",
     "registry_lookup": f"WITH {_FOUND} SELECT document_id, entry_no, matched_by FROM fo",
     "registry_apply": f"""WITH {_DOC}, {_FOUND} SELECT document_id, coalesce(e_status, 'REVIEW') AS index_status, title, coalesce(e_author, author) AS author
