@@ -125,7 +125,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _FORM = r"trim(regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g'), '\p{N}+', '#', 'g'))"
 
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+_LEAKS = r"""
+        w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        a AS (SELECT question_id, regexp_extract_all(lower(max(reference_answer)), '[\p{L}\p{N}]+') AS w FROM bench_items WHERE reference_answer IS NOT NULL GROUP BY question_id),
+        dr AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM w WHERE len(w) >= 12),
+        ar AS (SELECT DISTINCT question_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM a WHERE len(w) >= 12),
+        n AS (SELECT question_id, count(*) AS n FROM ar GROUP BY question_id)"""
+# longer aliases are replaced by the number of their concept first, so shorter ones find no claimed characters
+_PAIRS = rf"""
+        va AS (SELECT {_NORM.format('alias')} AS alias, min(canonical) AS canonical FROM vocabulary WHERE {_NORM.format('alias')} <> '' GROUP BY 1),
+        vn AS (SELECT canonical, row_number() OVER (ORDER BY canonical) AS no FROM (SELECT DISTINCT canonical FROM va)),
+        vl AS (SELECT list(struct_pack(a := alias, r := '<' || no || '>') ORDER BY length(alias) DESC, alias) AS l FROM va JOIN vn USING (canonical)),
+        e AS (SELECT DISTINCT chunk_id, evidence_text FROM graph_evidence),
+        c AS (SELECT chunk_id, evidence_text, list_distinct(regexp_extract_all(list_reduce(list_prepend(struct_pack(a := coalesce({_NORM.format('evidence_text')}, ''), r := ''), l),
+            lambda s, x: struct_pack(a := regexp_replace(s.a, '\b' || x.a || '\b', x.r, 'g'), r := '')).a, '<(\d+)>', 1)) AS k FROM e, vl),
+        m AS (SELECT row_number() OVER () AS r, k FROM c), u AS (SELECT r, canonical AS x FROM (SELECT r, unnest(k) AS no FROM m) q JOIN vn ON vn.no = CAST(q.no AS BIGINT)),
+        single AS (SELECT x, count(*) AS n FROM u GROUP BY x), total AS (SELECT count(*) AS n_records FROM e),
+        ab AS (SELECT p.x AS concept_a, q.x AS concept_b, count(*) AS n_ab FROM u p JOIN u q ON p.r = q.r AND p.x < q.x GROUP BY ALL),
+        pairs AS (SELECT concept_a, concept_b, n_ab, s.n AS n_a, t.n AS n_b, n_records FROM ab JOIN single s ON s.x = concept_a JOIN single t ON t.x = concept_b, total)"""
+
 SQL: dict[str, str] = {
+    "p1_found": rf"""
+        WITH r AS (SELECT DISTINCT 'c' AS kind, chunk_id AS id, chunk_id AS owner, {_WORDS.format('text')} AS w FROM chunks UNION SELECT DISTINCT 'e', evidence_id, chunk_id, {_WORDS.format('evidence_text')} FROM graph_evidence),
+        k AS (SELECT kind, id, owner, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM r WHERE len(w) >= 20),
+        t AS (SELECT row_number() OVER () AS t, kind, g FROM (SELECT DISTINCT kind, list_sort(g) AS g FROM k)),
+        x AS (SELECT t, kind, len(g) AS n, unnest(g) AS gram FROM t),
+        s AS (SELECT a.t AS p, b.t AS q, count(*) AS shared, any_value(a.n) AS n, any_value(b.n) AS m FROM x a JOIN x b ON a.gram = b.gram AND a.kind = b.kind AND a.t < b.t AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY a.t, b.t),
+        l AS (SELECT p, q FROM s WHERE shared >= 0.6 * (n + m - shared) UNION ALL SELECT t, t FROM t),
+        h AS (SELECT t, id, owner FROM k JOIN t ON t.kind = k.kind AND t.g = list_sort(k.g))
+        SELECT DISTINCT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id FROM l JOIN h a ON a.t = l.p JOIN h b ON b.t = l.q WHERE a.id <> b.id AND a.owner <> b.owner""",
+    "p5_found": f"WITH {_PAIRS} SELECT concept_a, concept_b FROM pairs WHERE n_ab >= 5 AND n_ab * n_records >= 2 * n_a * n_b",
+    "p5_pairs": f"""WITH {_PAIRS} SELECT *, round(n_ab * n_records / (n_a * n_b), 6) AS lift,
+        round(ln((n_ab + 0.5) * (n_records - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))), 6) AS log_odds FROM pairs""",
+    "p6_items": f"""WITH {_LEAKS}, f AS (SELECT doc_id, question_id, count(*) AS k FROM dr JOIN ar USING (run) GROUP BY ALL)
+        SELECT question_id, count(*) AS n_documents, count(*) FILTER (k = n) AS n_whole, round(max(k / n), 6) AS max_share FROM f JOIN n USING (question_id) GROUP BY question_id""",
+    "p3_clean": rf"""
+        WITH b AS (SELECT DISTINCT document_id, block_id, text FROM blocks), y AS (SELECT DISTINCT document_id, block_id, text FROM blocks WHERE text IS NOT NULL),
+        l AS (SELECT document_id, block_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM y),
+        f AS (SELECT document_id, block_id, line_no, {_FORM} AS form FROM l),
+        s AS (SELECT DISTINCT document_id, section FROM source_documents WHERE section IS NOT NULL),
+        n AS (SELECT section, count(DISTINCT document_id) AS n_docs FROM s SEMI JOIN blocks USING (document_id) GROUP BY section),
+        c AS (SELECT section, form, count(DISTINCT document_id) AS n_with FROM f JOIN s USING (document_id) WHERE length(form) >= 25 GROUP BY section, form),
+        z AS (SELECT document_id, block_id, list(DISTINCT line_no) AS d FROM f JOIN s USING (document_id) JOIN c USING (section, form) JOIN n USING (section) WHERE n_with >= 5 AND n_with * 125 >= n_docs GROUP BY ALL)
+        SELECT document_id, block_id, CASE WHEN d IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(d, i)), chr(10)) END AS text,
+            CAST(coalesce(len(d), 0) AS INTEGER) AS n_removed FROM b LEFT JOIN z USING (document_id, block_id)""",
     "p2_found": r"""
         SELECT DISTINCT chunk_id FROM chunks
         WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) > 300""",
