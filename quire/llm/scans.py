@@ -14,7 +14,7 @@ the strokes of a known word is a misreading of it.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,17 +79,23 @@ def strokes(word: Column) -> Column:
     return out
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 _STROKE_TABLE = str.maketrans(STROKES)
 
 
 def head_form(line: Column) -> Column:
     """Strokes of the letters and digits of a line, single blanks between, without a page number at either end."""
     numeral = rf"^(?:\p{{Nd}}{{1,5}}|{ROMAN})$"
+    # each step is bound once, as it is referred to several times
+    first, last = (lambda x: F.substring_index(x, " ", 1)), (lambda x: F.substring_index(x, " ", -1))
+    behind = lambda x: F.when(F.contains(x, F.lit(" ")) & first(x).rlike(numeral), F.substring(x, F.length(first(x)) + 2, F.length(x))).otherwise(x)
+    before = lambda x: F.when(F.contains(x, F.lit(" ")) & last(x).rlike(numeral), F.left(x, F.length(x) - F.length(last(x)) - 1)).otherwise(x)
     bare = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}+]+", " "))
-    first = F.substring_index(bare, " ", 1)
-    bare = F.when((first != bare) & first.rlike(numeral), F.substring(bare, F.length(first) + 2, F.length(bare))).otherwise(bare)
-    last = F.substring_index(bare, " ", -1)
-    return strokes(F.when((last != bare) & last.rlike(numeral), F.left(bare, F.length(bare) - F.length(last) - 1)).otherwise(bare))
+    return strokes(_once(_once(bare, behind), before))
 
 
 def document_heads(blocks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -361,14 +367,16 @@ def line_marks(scanned: DataFrame, heads: DataFrame, config: ScanConfig) -> Data
     Lines are compared by the strokes of their letters, however they end. A document's own way of numbering
     is a difference to page_number that several of its pages share.
     """
-    form = F.col("form")
+    form = _once(head_form(F.col("line")), lambda f: F.when(F.length(f) >= 4, F.xxhash64(f)))
     digits = F.when(F.length("line") <= 16, F.regexp_extract("line", r"^\W*(?:[pP](?:age|\.)?\s*)?(\d{1,5})\W*$", 1))
     lines = (
         scanned.select("document_id", "block_id", "page", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("document_id", "block_id", "page", (F.col("pos") + 1).alias("line_no"), F.when(F.length("line") > 3, head_form(F.col("line"))).alias("form"), F.try_to_number(F.nullif(digits, F.lit("")), F.lit("99999")).cast("int").alias("number"))
-        .select("document_id", "block_id", "page", "line_no", F.when(F.length(form) >= 4, F.xxhash64(form)).alias("h"), "number")
-        .where("h is not null or number is not null")
-    )
+        # no filter on these: it would compute them once more
+        .select(
+            "document_id", "block_id", "page", (F.col("pos") + 1).alias("line_no"), F.when(F.length("line") > 3, form).alias("h"),
+            F.try_to_number(F.nullif(digits, F.lit("")), F.lit("99999")).cast("int").alias("number"),
+        )
+    )
     lines = write_table(lines, "lines")
     again = lines.where("h is not null").groupBy("document_id", "h").agg(F.min("block_id").alias("a"), F.max("block_id").alias("b")).where("a <> b")
     flags = (
