@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,26 +40,25 @@ class MixConfig:
     max_sources: int = 100_000
 
 
-def _counter(path: str) -> Callable[[list[str]], list[int]]:
-    """Counts tokens with the tokenizer in `path`, by its kind of file."""
+def _counter(path: str, data: bytes) -> Callable[[list[str]], list[int]]:
+    """Counts tokens with the tokenizer file `data`, whose kind its path tells."""
     if path.endswith(".tiktoken"):
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         encoding = tiktoken.Encoding("bpe", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
         return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
     if path.endswith(".model"):
         import sentencepiece
 
-        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = sentencepiece.SentencePieceProcessor(model_proto=data)
         return lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_buffer(data)
     tokenizer.encode_special_tokens = True
     return lambda texts: [len(x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -71,9 +71,11 @@ def sized(documents: DataFrame, tokenizer: str) -> DataFrame:
         .select("doc_id", source_name(F.col("x.source")).alias("source"), F.coalesce("x.text", F.lit("")).alias("text"))
     )
     kind = dict(documents.dtypes)["doc_id"]
+    # the driver's file goes along, as executors need not have one
+    shared = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer)
+        counter = _counter(tokenizer, shared.value)
         for batch in batches:
             n = counter(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"])
