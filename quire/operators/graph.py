@@ -67,12 +67,12 @@ def sentences(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _finder(aliases: dict[str, str]):
+def _finder(aliases: dict[str, str] | list[tuple[str, str]]):
     """Names in order of first mention: longer aliases claim their characters first, letters or digits may not adjoin; one pass of an automaton."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for alias, name in aliases.items():
+    for alias, name in dict(aliases).items():
         automaton.add_word(alias, (-len(alias), alias, name))
     if aliases:
         automaton.make_automaton()

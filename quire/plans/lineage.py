@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +49,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def release() -> None:
-    """Remove every table written so far; results that still read them become invalid."""
-    while _written:
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside are removed at its end; results must have been used by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(before)
+
+
+def release(keep: int = 0) -> None:
+    """Remove the tables written so far but for the first `keep`; results that still read them become invalid."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
