@@ -49,9 +49,13 @@ def top_k(scores: DataFrame, k: int, score: str = "score", digits: int = 6) -> D
     return scores.withColumn(score, F.round(score, digits)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def tokenised(chunks: DataFrame) -> DataFrame:
-    """lengths(chunks), written once; statistics and all queries read it from there."""
-    return write_table(spread(lengths(chunks), "id"), "tokens")
+def tokenised(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """lengths(chunks), written once; statistics and all queries read it from there.
+
+    Repeated rows of an id count once; they are dropped after the one shuffle that spreads the texts.
+    """
+    rows = spread(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").dropDuplicates(["id"])
+    return write_table(lengths(rows, "id"), "tokens")
 
 
 class _Best:

@@ -31,6 +31,11 @@ def _chunk_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").select("chunk_id", "text").dropDuplicates(["chunk_id"])
 
 
+def _chunk_rows(s: SparkSession, d: str) -> DataFrame:
+    """Ids and texts as stored, for operators that drop repeated rows themselves."""
+    return table(s, d, "chunks").select("chunk_id", "text")
+
+
 def _blocks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "blocks").drop("extracted_at", "ingested_at", "heuristic_quality_score").dropDuplicates(["document_id", "block_id"])
 
@@ -183,7 +188,7 @@ def hash_embed(s, d):
 
 
 def _bm25_leg(s, d, k=30, tokens=None):
-    return retrieval.bm25_topk(_questions(s, d), _chunk_text(s, d), k, tokens)
+    return retrieval.bm25_topk(_questions(s, d), _chunk_rows(s, d), k, tokens)
 
 
 def _dense_leg(s, d, k=30):
@@ -257,7 +262,7 @@ def render_pack(s, d):
 
 def _labels(s, d, tokens=None):
     answers = _questions(s, d).where(F.col("reference_answer").isNotNull()).select("query_id", F.col("reference_answer").alias("query"))
-    return retrieval.bm25_topk(answers, _chunk_text(s, d), 3, tokens).select("query_id", F.col("id").alias("key"))
+    return retrieval.bm25_topk(answers, _chunk_rows(s, d), 3, tokens).select("query_id", F.col("id").alias("key"))
 
 
 MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
@@ -273,7 +278,7 @@ def _runs(s, d, tokens=None):
 
 
 def _per_query(s, d):
-    tokens = retrieval.tokenised(_chunk_text(s, d))
+    tokens = retrieval.tokenised(_chunk_rows(s, d))
     runs = _runs(s, d, tokens)
     return write_table(evaluation.metrics(runs, _labels(s, d, tokens), _questions(s, d).select("query_id"), modes=MODES), "metrics")
 

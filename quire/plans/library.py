@@ -8,7 +8,7 @@ from ..operators import evaluation, graph, ingest, retrieval, structure
 from ..operators.answering import coverage
 from ..sources.files import as_json
 from ..sources.tables import table
-from .catalog import _blocks, _chunk_text, _chunks, _documents, _edges, _evidence, _labels, _pages, _packs, _per_query, _questions, query
+from .catalog import _blocks, _chunk_rows, _chunks, _documents, _edges, _evidence, _labels, _pages, _packs, _per_query, _questions, query
 
 # registry and stages: the registry of these queries curates each section by path and the files under review by checksum
 
@@ -135,7 +135,7 @@ def discovered_summary(s, d):
 def filtered_search(s, d):
     wanted = ingest.SearchFilter.of({"source_type": "primary"})
     allowed = _chunks(s, d).join(wanted.documents(_documents(s, d)), "document_id", "left_semi").select(F.col("chunk_id").alias("id"))
-    return retrieval.bm25_topk(_questions(s, d), _chunk_text(s, d), 5, among=allowed)
+    return retrieval.bm25_topk(_questions(s, d), _chunk_rows(s, d), 5, among=allowed)
 
 
 @query
@@ -267,7 +267,7 @@ def dataset_integrity(s, d):
 @query
 def page_metrics(s, d):
     """Metrics by page: pages ranked by first appearance, against the pages of the relevant chunks."""
-    tokens = retrieval.tokenised(_chunk_text(s, d))
+    tokens = retrieval.tokenised(_chunk_rows(s, d))
     chunks = _chunks(s, d).select(F.col("chunk_id").alias("id"), "document_id", "page_numbers")
     ranked = retrieval.bm25_topk(_questions(s, d), None, 10, tokens).select(F.lit("bm25").alias("mode"), "query_id", "rank", "id")
     pages = evaluation.pages_in_order(ranked, chunks)

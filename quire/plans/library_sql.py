@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracles import _BL, _CH, _DOC, _ED, _ENDS, _EV, _FORM, _FURNITURE, _Q, _TERMS, _bm25
+from .oracles import SQL as _CATALOG
+from .oracles import _BL, _CH, _DOC, _ED, _ENDS, _EV, _FORM, _FURNITURE, _METRICS, _Q, _TERMS, _bm25
 
 _NODE = "'concept:' || " + _FORM
 _ENTRIES = r"""en AS (SELECT DISTINCT document_id AS entry_no, source_sha256 AS sha, NULL::VARCHAR AS path, 'EXCLUDE' AS e_status, 'curator' AS e_author FROM source_documents WHERE index_status = 'REVIEW' AND source_sha256 IS NOT NULL
@@ -40,6 +41,13 @@ SQL: dict[str, str] = {
         m AS (SELECT chunk_id, evidence_text, unnest(k) AS no, unnest(range(len(k))) AS i FROM c), f AS (SELECT chunk_id, evidence_text, no, min(i) AS i FROM m GROUP BY ALL),
         n AS (SELECT chunk_id, evidence_text, string_agg(canonical, '|' ORDER BY i) AS names FROM f JOIN vn ON vn.no = CAST(f.no AS BIGINT) GROUP BY ALL)
         SELECT chunk_id, sha256(coalesce(evidence_text, '')) AS span, coalesce(names, '') AS names FROM e LEFT JOIN n USING (chunk_id, evidence_text)""",
+    "failure_counts": _CATALOG["failure_categories"].split("SELECT query_id, category, CAST(row_number")[0] + "SELECT category, count(*) AS n FROM c WHERE category IS NOT NULL GROUP BY category",
+    "page_metrics": f"""WITH {_CH}, {_Q}, {_TERMS}, {_bm25('bm25', 'query', 10)}, {_bm25('answers', 'reference_answer', 3)},
+        labels AS (SELECT DISTINCT query_id, document_id || ':' || page AS key FROM (SELECT query_id, document_id, unnest(page_numbers) AS page FROM answers JOIN ch ON ch.chunk_id = answers.id)),
+        x AS (SELECT query_id, rank, document_id, unnest(page_numbers) AS page, unnest(range(len(page_numbers))) AS pos FROM bm25 JOIN ch ON ch.chunk_id = bm25.id),
+        y AS (SELECT query_id, document_id || ':' || page AS key, min(rank * 100000 + pos) AS seen FROM x GROUP BY ALL),
+        runs AS (SELECT 'bm25' AS mode, query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY seen, key) AS rank FROM y),
+        {_METRICS[_METRICS.index('ks AS'):]} SELECT * FROM per""",
     "latest_blocks": """WITH l AS (SELECT document_id, block_id, max(struct_pack(at := ingested_at, page := page_number)) AS x FROM blocks GROUP BY ALL)
         SELECT x.page AS page_number, count(*) AS n, CAST(max(x.at) AT TIME ZONE 'UTC' AS VARCHAR) AS last FROM l GROUP BY x.page""",
     "validate_graph": f"""WITH o AS (SELECT DISTINCT edge_id, source_node_id AS s, target_node_id AS t, confidence, evidence_ids, evidence_count, status, build_id, relationship_type FROM graph_edges),
