@@ -7,9 +7,12 @@ packed in parallel, so a long document is many groups. Text order is reading ord
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +141,18 @@ def pack(blocks: list[tuple[str, str, int, str]], config: ChunkConfig) -> list[t
     return out
 
 
+#: Columns of packed chunks: name, type in Spark, type in Arrow.
+_PACKED = (
+    ("document_id", "string", pa.string()), ("__group", "long", pa.int64()), ("__i", "int", pa.int32()), ("text", "string", pa.string()),
+    ("source_block_ids", "array<string>", pa.list_(pa.string())), ("page_numbers", "array<int>", pa.list_(pa.int32())), ("heading", "string", pa.string()),
+    ("token_count", "int", pa.int32()), ("start_page", "int", pa.int32()), ("end_page", "int", pa.int32()),
+)
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(_PACKED)], [name for name, _, _ in _PACKED])
+
+
 def chunk_blocks(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Chunks of every document: chunk_id, document_id, chunk_index, text, source_block_ids, page_numbers, heading, token_count, start_page, end_page.
 
@@ -158,20 +173,24 @@ def chunk_blocks(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> Data
     opens = (anchor & ~F.coalesce("__before", F.lit(True))).cast("int")
     ordered = running(content.withColumn("__opens", opens), ["document_id"], order, {"__group": ("sum", F.col("__opens"))})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_number", "reading_order", "block_id"])
-        rows = pack(list(zip(pdf["block_id"], pdf["block_type"].fillna("UNKNOWN"), pdf["page_number"].fillna(0).astype(int), pdf["text"].str.strip())), config)
-        doc, group = pdf["document_id"].iloc[0], int(pdf["__group"].iloc[0])
-        return pd.DataFrame(
-            [(doc, group, i, t, b, p, h, len(_TOKEN.findall(t)), p[0], p[-1]) for i, (t, b, p, h) in enumerate(rows)],
-            columns=["document_id", "__group", "__i", "text", "source_block_ids", "page_numbers", "heading", "token_count", "start_page", "end_page"],
-        )
-
-    schema = (
-        "document_id string, __group long, __i int, text string, source_block_ids array<string>, "
-        "page_numbers array<int>, heading string, token_count int, start_page int, end_page int"
-    )
-    packed = spread(ordered, "document_id", "__group").groupBy("document_id", "__group").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs the sections of a partition, which lie one after another; a section may go on in the next batch."""
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*[column.to_pylist() for column in batch.columns])
+
+        out: list[tuple] = []
+        for (doc, group), section in groupby(rows(), key=itemgetter(0, 1)):
+            packed = pack([(block, kind or "UNKNOWN", page or 0, text.strip()) for _, _, page, block, kind, text in section], config)
+            out += [(doc, group, i, t, b, p, h, len(_TOKEN.findall(t)), p[0], p[-1]) for i, (t, b, p, h) in enumerate(packed)]
+            if len(out) >= 2000:
+                yield _table(out)
+                out = []
+        yield _table(out)
+
+    ready = spread(ordered, "document_id", "__group").sortWithinPartitions("document_id", "__group", *order)
+    packed = ready.select("document_id", "__group", "page_number", "block_id", "block_type", "text").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind, _ in _PACKED))
     numbered = running(packed, ["document_id"], ["__group", "__i"], {"chunk_index": ("sum", F.lit(1))}).withColumn("chunk_index", (F.col("chunk_index") - 1).cast("int"))
     return numbered.select(
         F.format_string("%s-c%05d", "document_id", "chunk_index").alias("chunk_id"), "document_id", "chunk_index", "text", "source_block_ids", "page_numbers", "heading", "token_count", "start_page", "end_page"
