@@ -90,6 +90,18 @@ class _Best:
         )
 
 
+def _asked_idf(tokens: DataFrame, terms: list[str]) -> tuple[dict[str, float], float]:
+    """The idf of those terms that some record holds, and the mean length of the records; as term_statistics, in one pass over all terms."""
+    size = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    raw = F.log(F.lit(size.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    counted = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = tokens.sparkSession.createDataFrame([(t, True) for t in terms], "term string, asked boolean")
+    found = counted.join(asked, "term", "left").select("term", raw.alias("raw"), "asked")
+    # one row: the asked terms' values, whose number is checked, and the mean of all
+    one = found.agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("x")).first()
+    return {r.term: EPSILON * one.mean if r.raw < 0 else r.raw for r in one.x}, size.avgdl or 1.0
+
+
 def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int, tokens: DataFrame | None = None, among: DataFrame | None = None, max_terms: int = 5_000_000, block: int = 1024) -> DataFrame:
     """(query_id, id, score, rank) with positive scores only; blank queries have no hits.
 
@@ -101,14 +113,11 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int, tokens: Data
     """
     tokens = tokenised(chunks) if tokens is None else tokens
     asked = queries.select("query_id", F.explode(lex_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = asked.join(term_statistics(tokens).select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    rows = bounded_rows(weighted, max_terms, "the terms of the query set")
-    average = tokens.agg(F.avg("dl").alias("avgdl")).first().avgdl or 1.0
-    names = sorted({r.query_id for r in rows})
-    number = {q: i for i, q in enumerate(names)}
-    terms = sorted({r.term for r in rows})
-    at = {t: i for i, t in enumerate(terms)}
-    rows = sorted((at[r.term], number[r.query_id], r.w) for r in rows)
+    rows = bounded_rows(asked, max_terms, "the terms of the query set")
+    names, terms = sorted({r.query_id for r in rows}), sorted({r.term for r in rows})
+    idf, average = _asked_idf(tokens, terms)
+    number, at = {q: i for i, q in enumerate(names)}, {t: i for i, t in enumerate(terms)}
+    rows = sorted((at[r.term], number[r.query_id], r.qtf * idf[r.term]) for r in rows if r.term in idf)
     term_of, query_of, weight = (np.array(x) for x in zip(*rows)) if rows else (np.empty(0, int),) * 3
     kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(tokens.dtypes)["id"]}
     shared = tokens.sparkSession.sparkContext.broadcast((names, terms, term_of, query_of, weight))
